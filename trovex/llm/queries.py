@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovex.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from trovex.llm import bpe, exact_dedup, licenses, mixing, near_dedup, phrases, quality, sharding, sstable, warc
 from trovex.llm.shared import workers_find_us
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.sorted_shards(_table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, keep_id) of every document that goes, with the one of its group that stays."""
     groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"))
@@ -37,5 +49,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_exact_dedup, op6_near_dedup, op7_mixing, op8_quality)}
-SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op7_mixing": mixing.sql()}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, taken from the archive's two tables."""
+    return warc.records(*warc.archive(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_licenses, op3_bpe, op4_exact_dedup, op5_phrases, op6_near_dedup, op7_mixing, op8_quality, op9_sharding, op10_warc)}
+SQL: dict[str, str] = {"op2_licenses": licenses.sql(), "op4_exact_dedup": exact_dedup.SQL, "op7_mixing": mixing.sql(), "op10_warc": warc.SQL}
