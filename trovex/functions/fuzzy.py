@@ -71,4 +71,4 @@ def letters_allow(query: str, name: Column, threshold: int) -> Column:
     short = F.least(F.char_length(name), F.lit(len(low)))
     most = F.least(total, short)
     # A window may be shorter than the query at the name's end, so no more than 2 * most / (short + most); rounding gives half a point.
-    return (F.lit(200.0) * most / (short + most) + 0.5 >= threshold) | (F.char_length(name) < len(low))
+    return (F.lit(200.0) * most / F.greatest(short + most, F.lit(1)) + 0.5 >= threshold) | (F.char_length(name) < len(low))

@@ -13,10 +13,11 @@ def enclosing(inner: DataFrame, outer: DataFrame, on: str, inner_range: tuple[Co
     """
     a, b = inner_range
     c, d = outer_range
+    start = F.unix_micros(F.col("_c").cast("timestamp")) if outer.select(c.alias("c")).dtypes[0][1].startswith("timestamp") else F.col("_c").cast("long")
     left = inner.select(on, *keys, a.alias("_a"), b.alias("_b"))
     right = outer.select(F.col(on).alias("_on"), c.alias("_c"), d.alias("_d"), F.col(value).alias("_v"))
     found = left.join(right, (F.col(on) == F.col("_on")) & (F.col("_c") <= F.col("_a")) & (F.col("_d") >= F.col("_b")))
-    best = found.groupBy(on, *keys).agg(F.min_by("_v", F.struct(-F.col("_c").cast("long"), F.col("_v"))).alias(name))
+    best = found.groupBy(on, *keys).agg(F.min_by("_v", F.struct(-start, F.col("_v"))).alias(name))
     return inner.join(best, [on, *keys], "left")
 
 

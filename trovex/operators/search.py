@@ -30,6 +30,10 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _count(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
+
+
 def bm25(docs: DataFrame, query: str, text: Column, id: str = "id") -> DataFrame:
     """docs with a score for the query, those above 0. Statistics are of docs as given: filter first what isn't to count.
 
@@ -39,7 +43,7 @@ def bm25(docs: DataFrame, query: str, text: Column, id: str = "id") -> DataFrame
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).where("false")
     toks = docs.withColumn("_toks", tx.tokens(text))
-    counted = toks.withColumns({"_len": F.size("_toks").cast("double"), **{f"_tf{i}": F.size(F.filter("_toks", lambda x, t=t: x == t)).cast("double") for i, t in enumerate(terms)}}).drop("_toks")
+    counted = toks.withColumns({"_len": F.size("_toks").cast("double"), **{f"_tf{i}": _count("_toks", t) for i, t in enumerate(terms)}}).drop("_toks")
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, m in enumerate(terms.values()):
