@@ -15,27 +15,31 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovex.llm import kernel as K
 from trovex.llm.shared import Shelf, col, components, key_join
 
-SETS = "id string, k bigint, len int, h bigint, n int, sig binary, elems binary"
+SETS = "id string, k bigint, len int, h bigint, n int, keys binary, sketch binary"
+#: Buckets of more sets are first linked by their hub alone.
+HUB = 16
+#: MinHash values in a sketch, a byte each.
+SKETCH = 64
 
 
 @dataclass(frozen=True)
 class Ensemble:
     """threshold: containment from which a smaller set counts as held by a larger one. max_ratio: a set of more times
     the size holds an excerpt, no near copy, and is no partner. step: ratio of neighbouring size classes. recall: of a
-    pair at the threshold, by which each banding is tuned within hashes MinHash values."""
+    pair at the threshold, by which each banding is tuned within hashes MinHash values. Bandings have three rows at least: with two, chance pairs outnumber the documents."""
 
     shingle: int = 4
     threshold: float = 0.7
-    max_ratio: float = 3.0
-    step: float = 1.5
-    hashes: int = 128
-    recall: float = 0.95
+    max_ratio: float = 2.0
+    step: float = math.sqrt(2)
+    hashes: int = 256
+    recall: float = 0.9
     seed: int = 7
     bandings: tuple[tuple[int, int], ...] = field(init=False)
 
@@ -49,100 +53,143 @@ class Ensemble:
         return self.threshold / (ratio + 1 - self.threshold)
 
     def tuned(self, d: int) -> tuple[int, int]:
-        """(bands, rows): the most rows, then the fewest bands, that reach the recall; two rows and all hashes where none does."""
+        """(bands, rows): the most rows, then the fewest bands, that reach the recall; three rows and all hashes where none does."""
         j = self.jaccard(d)
-        for rows in range(8, 1, -1):
+        for rows in range(8, 2, -1):
             need = math.ceil(math.log(1 - self.recall) / math.log(1 - j**rows))
             if need * rows <= self.hashes:
                 return need, rows
-        return self.hashes // 2, 2
+        return self.hashes // 3, 3
+
+    def tables(self) -> dict[int, int]:
+        """Bands by rows, as many as any classes need."""
+        out: dict[int, int] = {}
+        for bands, rows in self.bandings:
+            out[rows] = max(out.get(rows, 0), bands)
+        return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary array with the bytes of each row of a matrix."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _shingled(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text indices, shingles, first shingle of each, number, hash of the set) for runs of texts, those without words left out."""
+    texts = pc.utf8_lower(texts)
+    for a, b in K.runs(texts):
+        doc, hashes, _, _ = K.words(texts.slice(a, b - a))
+        d, elems = K.shingles(doc, hashes, b - a, size)
+        docs, at = K.per_doc(d)
+        if len(docs):
+            n = np.diff(np.append(at, len(elems)))
+            yield docs + a, elems, at, n, K.mix(np.add.reduceat(K.mix(elems + K.U64(1)), at) ^ n.astype(K.U64)).view(np.int64)
+
+
+def _band_keys(sig: np.ndarray, tables: dict[int, int]) -> np.ndarray:
+    """Keys of all bands of all tables, side by side."""
+    sig, out = sig.astype(np.uint64), []
+    for r, b in tables.items():
+        x = np.zeros((len(sig), b), np.uint64)
+        for i in range(r):
+            x = K.mix(x ^ (sig[:, i : b * r : r] + K.mix(np.full(1, i + 1, np.uint64))))
+        out.append(K.mix(x + (np.arange(b, dtype=np.uint64) + K.U64(1000 * r)) * K.U64(0x9E3779B97F4A7C15)))
+    return np.concatenate(out, axis=1)
 
 
 def _sets(cfg: Ensemble):
-    seeds = K.hash_seeds(cfg.hashes, cfg.seed)
+    seeds, tables = K.hash_seeds(cfg.hashes, cfg.seed), cfg.tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ks, lens = batch.column(0), batch.column(1), batch.column(3)
-            texts = pc.utf8_lower(K.text_array(batch.column(2)))
-            for a, b in K.runs(texts):
-                doc, hashes, _, _ = K.words(texts.slice(a, b - a))
-                d, elems = K.shingles(doc, hashes, b - a, cfg.shingle)
-                docs, at = K.per_doc(d)
-                if not len(docs):
-                    continue
-                sig = K.minhash(elems, at, seeds)
-                size = np.diff(np.append(at, len(elems)))
-                h = K.mix(np.add.reduceat(K.mix(elems + K.U64(1)), at) ^ size.astype(K.U64)).view(np.int64)
-                small = (elems >> K.U64(8)).astype(np.uint32)  # still sorted
-                ends = np.append(at, len(elems)).astype(np.int64) * 4
-                pick = pa.array(docs + a)
-                big = pa.large_binary()
+            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(2)), cfg.shingle):
+                sig, pick = K.minhash(elems, at, seeds), pa.array(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(size.astype(np.int32)),
-                        pa.Array.from_buffers(big, len(docs), [None, pa.py_buffer(np.arange(len(docs) + 1, dtype=np.int64) * sig.shape[1] * 4), pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
-                        pa.Array.from_buffers(big, len(docs), [None, pa.py_buffer(ends), pa.py_buffer(small.tobytes())]).cast(pa.binary()),
-                    ],
-                    names=["id", "k", "len", "h", "n", "sig", "elems"],
-                )
+                    [ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(n.astype(np.int32)), _binary(_band_keys(sig, tables)), _binary((sig[:, :SKETCH] >> 8).astype(np.uint8))],
+                    names=["id", "k", "len", "h", "n", "keys", "sketch"],
+                )
 
     return run
 
 
-def _bands(cfg: Ensemble):
-    """For every row number among the bandings, the keys of its bands: (band key, class)."""
-    tables = {}
-    for d, (b, r) in enumerate(cfg.bandings):
-        tables[r] = max(tables.get(r, 0), b)
+def _elements(cfg: Ensemble):
+    """(h, sorted shingles as 32-bit integers) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(n, cfg.hashes).astype(np.uint64)
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            size = batch.column(1).to_numpy(zero_copy_only=False)
-            for r, b in tables.items():
-                x = np.zeros((n, b), np.uint64)
-                for i in range(r):
-                    x = K.mix(x ^ (sig[:, i : b * r : r] + K.mix(np.full(1, i + 1, np.uint64))))
-                x = K.mix(x + (np.arange(b, dtype=np.uint64) + K.U64(1000 * r)) * K.U64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64).ravel()), pa.array(np.repeat(h, b)), pa.array(np.repeat(size, b).astype(np.int32)), pa.array(np.tile(np.arange(b, dtype=np.int16), n)), pa.array(np.full(n * b, r, np.int16))],
-                    names=["key", "h", "n", "band", "r"],
-                )
+            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(0)), cfg.shingle):
+                small = (elems >> K.U64(8)).astype(np.uint32)
+                ends = pa.py_buffer((np.append(at, len(elems)) * 4).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.Array.from_buffers(pa.binary(), len(docs), [None, ends, pa.py_buffer(small.tobytes())])], names=["h", "elems"])
+
+    return run
+
+
+def _buckets(cfg: Ensemble):
+    """A row (key, h, tag) for each band of a set; tag packs the set's size, the band and the banding's rows."""
+    tables = cfg.tables()
+    tags = np.concatenate([(np.arange(b, dtype=np.int64) << 4) | r for r, b in tables.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+                h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                tag = (n.astype(np.int64) << 20)[:, None] | tags
+                for a in range(0, len(h), 1000):  # a bounded number of rows at a time
+                    b = min(len(h), a + 1000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a * len(tags) : b * len(tags)]), pa.array(np.repeat(h[a:b], len(tags))), pa.array(tag[a:b].ravel())], names=["key", "h", "tag"])
+
+    return run
+
+
+def _alike(least: float):
+    """Pairs whose sketches agree in at least the share least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array((x == y).mean(1) >= least))
 
     return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
         both = []
         for x, y in zip(left, right):
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int32())], names=["a", "b", "both"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
 
 
 def _class(cfg: Ensemble, n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(cfg.step)) + F.lit(1e-9)).cast("int")
 
 
-def _checked(shelf: Shelf, sets: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
-    """Of the candidates (a, b), n of a at most n of b, those whose sets reach the threshold: (a, b, na, nb, both)."""
-    pairs = shelf.keep(pairs)
+def _checked(shelf: Shelf, rows: DataFrame, sets: DataFrame, one: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
+    """Of the candidates (a, b, na, nb) those whose sets reach the threshold of the smaller: (a, b, na, nb, both).
+
+    Sketches sort out chance pairs first: 0.15 below the least Jaccard similarity is over 2.5 standard errors away. The sets
+    of those left are made anew from their texts, so that sets needn't be kept for all documents.
+    """
+    sketch = one.select("h", "sketch")
+    pairs = pairs.join(sketch.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")
+    least = cfg.jaccard(len(cfg.bandings) - 1) - 0.15
+    pairs = shelf.keep(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(least), "a bigint, b bigint, na int, nb int"))
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    elems = key_join(sets.select("h", "n", "elems"), needed, ["h"], "left_semi").groupBy("h").agg(F.first("n").alias("n"), F.first("elems").alias("elems"))
-    elems = shelf.keep(elems)
-    joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b").select("a", "b", "ea", "eb")
-    both = joined.mapInArrow(_overlaps, "a bigint, b bigint, both int")
-    out = pairs.join(both, ["a", "b"]).where(F.col("both") >= F.lit(cfg.threshold) * F.col("na"))
-    out = shelf.keep(out)
+    texts = shelf.keep(sets.join(needed, "h", "left_semi").groupBy("h").agg(F.min("k").alias("k")).select("k").distinct())
+    elems = key_join(rows.select("t", "k"), texts, ["k"], "left_semi").dropDuplicates(["k"]).select("t").mapInArrow(_elements(cfg), "h bigint, elems binary")
+    elems = shelf.keep(elems.dropDuplicates(["h"]), "none")
+    joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
+    both = joined.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, both int")
+    out = shelf.keep(both.where(F.col("both") >= F.lit(cfg.threshold) * F.least("na", "nb")))
     shelf.drop(elems, pairs)
     return out
 
@@ -164,33 +211,34 @@ def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id",
     rows = docs.select(col(docs, id).cast("string").alias("id"), F.xxhash64(t).alias("k"), t.alias("t"), F.octet_length(t).alias("len")).where("t is not null and t <> ''")
     sets = shelf.keep(rows.mapInArrow(_sets(cfg), SETS))
 
-    one = sets.groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    index = shelf.keep(one.select("h", "n", "sig").mapInArrow(_bands(cfg), "key bigint, h bigint, n int, band smallint, r smallint"))
-    order = F.struct(F.col("n"), F.col("h"))
-    # First only each bucket's least set is linked with the others: that ties large groups of copies together in linear time.
-    hubs = index.groupBy("key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 2")
-    star = index.join(hubs, "key").where(F.col("h") != F.col("hub.h")).select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+    one = shelf.keep(sets.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    # One shuffle brings each bucket together; buckets of one set are dropped at once.
+    members = Window.partitionBy("key")
+    index = one.select("h", "n", "keys").mapInArrow(_buckets(cfg), "key bigint, h bigint, tag bigint")
+    size = F.shiftright("tag", 20).cast("int")
+    index = index.withColumns({"m": F.count(F.lit(1)).over(members), "hub": F.min(F.struct(size.alias("n"), "h")).over(members)}).where("m > 1")
+    index = shelf.keep(index.select("key", "h", size.alias("n"), F.shiftright("tag", 4).bitwiseAND(0xFFFF).cast("int").alias("band"), F.col("tag").bitwiseAND(15).cast("int").alias("r"), "m", "hub"))
+    # First only each large bucket's least set is linked with the others: that ties groups of many copies together in linear time.
+    star = index.where(F.col("m") > HUB).where(F.col("h") != F.col("hub.h")).select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
     star = star.where(F.col("nb") <= F.lit(cfg.max_ratio) * F.col("na")).distinct()
-    first = _checked(shelf, sets, star, cfg)
+    first = _checked(shelf, rows, sets, one, star, cfg)
     near = lambda pairs: pairs.where(F.col("both") >= F.lit(cfg.threshold) * F.greatest("na", "nb"))
     label = components(shelf, near(first))
 
     # Then all pairs of a bucket that aren't in one component yet.
-    labelled = index.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    full = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    labelled = shelf.keep(labelled.join(full, "key"))
+    labelled = index.select("key", "h", "n", "band", "r").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).withColumn("step", _class(cfg, F.col("n")))
+    labelled = shelf.keep(labelled)
     shelf.drop(index)
     x, y = labelled.alias("x"), labelled.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.h") < F.col("y.h")))
-    apart = _class(cfg, F.col("y.n")) - _class(cfg, F.col("x.n"))
     used = F.lit(False)
     for d, (b, r) in enumerate(cfg.bandings):
-        used = used | ((apart == d) & (F.col("x.r") == r) & (F.col("x.band") < b))
+        used = used | ((F.col("y.step") - F.col("x.step") == d) & (F.col("x.r") == r) & (F.col("x.band") < b))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & smaller & (F.col("y.n") <= F.lit(cfg.max_ratio) * F.col("x.n")) & used)
     pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    rest = _checked(shelf, sets, pairs, cfg)
+    rest = _checked(shelf, rows, sets, one, pairs, cfg)
     found = first.union(rest)
-    shelf.drop(labelled)
+    shelf.drop(labelled, one)
 
     label = shelf.keep(components(shelf, near(found)))
     known = sets.select("h", "n", "id", "k", "len").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
@@ -229,9 +277,9 @@ def drop_near_copies(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc
     twice = groups.where("stays and copies > 1").select("id", "k", "len")
     names = docs.columns
     t = col(docs, text).cast("string")
-    keyed = docs.select(F.struct(*[col(docs, c) for c in names]).alias("row"), F.coalesce(F.hash(col(docs, id)), F.lit(0)).alias("i"), col(docs, id).alias("id"), F.xxhash64(t).alias("k"), F.octet_length(t).alias("len"))
-    seal = lambda df: df.select(F.xxhash64(F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit("")), "k", "len").alias("seal"))
-    keyed = keyed.select("row", F.xxhash64(F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit("")), "k", "len").alias("seal"))
+    mark = lambda i, k, n: F.xxhash64(i.isNull(), F.coalesce(i.cast("string"), F.lit("")), k, n).alias("seal")
+    seal = lambda df: df.select(mark(F.col("id"), F.col("k"), F.col("len")))
+    keyed = docs.select(F.struct(*[col(docs, c) for c in names]).alias("row"), mark(col(docs, id), F.xxhash64(t), F.octet_length(t)))
     kept = key_join(keyed, seal(gone), ["seal"], "left_anti")
     n = twice.count()
     if n:
