@@ -11,10 +11,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is eight times this.
+BATCH_BYTES = 8 << 20
+#: Without these, workers keep most of what their largest batch took.
+_MALLOC = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
+
 
 def workers_find_us(spark: SparkSession) -> None:
-    """Let Python workers import this package where they share the driver's paths; elsewhere ship it with --py-files."""
-    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
+    """Let Python workers import this package where they share the driver's paths; elsewhere ship it with --py-files.
+
+    Workers are also told to hold little memory, and the session to send them small batches unless it sets a size itself.
+    """
+    spark.sparkContext.environment.update({"PYTHONPATH": str(Path(__file__).resolve().parents[1]), **_MALLOC})
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
