@@ -24,7 +24,7 @@ from trovex.llm.shared import col
 #: Pieces of more bytes go to the heap.
 SHORT = 200
 #: Encoded pieces that a worker keeps; then it begins anew.
-CACHE = 300_000
+CACHE = 100_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = 1 << 40

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about so many bytes, which keeps temporaries in cache and memory small; longer texts make a run of their own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = (1 << 19) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _WORD = np.zeros(256, bool)

@@ -77,9 +77,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def _shingled(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text indices, shingles, first shingle of each, number, hash of the set) for runs of texts, those without words left out."""
-    texts = pc.utf8_lower(texts)
     for a, b in K.runs(texts):
-        doc, hashes, _, _ = K.words(texts.slice(a, b - a))
+        doc, hashes, _, _ = K.words(pc.utf8_lower(texts.slice(a, b - a)))
         d, elems = K.shingles(doc, hashes, b - a, size)
         docs, at = K.per_doc(d)
         if len(docs):
