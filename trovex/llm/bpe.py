@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,8 @@ from trovex.llm.shared import col
 
 #: Pieces of more bytes go to the heap.
 SHORT = 200
-#: Encoded pieces that a worker keeps; then it begins anew.
-CACHE = 100_000
+#: Encoded pieces of one generation of a worker's cache; there are two, and the older one goes when the newer is full.
+CACHE = 200_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = 1 << 40
@@ -38,6 +39,7 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             tokens[r] = t
@@ -95,19 +97,21 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian 32-bit integers in a row."""
-        pieces, cache = self.split(text), self.cache
-        out = [cache.get(p) for p in pieces]
+        pieces = self.split(text)
+        out = list(map(self.cache.get, pieces))
         if None in out:
-            if len(cache) > CACHE:
-                cache.clear()
+            if len(self.cache) > CACHE:
+                self.cache, self.older = {}, self.cache
+            cache, older = self.cache, self.older
             for i, x in enumerate(out):
                 if x is None:
                     p = pieces[i]
-                    x = cache.get(p)
+                    x = cache.get(p) or older.get(p)
                     if x is None:
-                        x = np.array(self.piece(p.encode()), "<i4").tobytes()
-                        if len(p) < SHORT:
-                            cache[p] = x
+                        ids = self.piece(p.encode())
+                        x = struct.pack(f"<{len(ids)}i", *ids)
+                    if len(p) < SHORT:
+                        cache[p] = x
                     out[i] = x
         return b"".join(out)
 
