@@ -114,3 +114,12 @@ def test_context_and_batches(spark):
     want = spark.createDataFrame([(0, "s2"), (1, "s3"), (2, "s2"), (3, "none")], "pos bigint, id string")
     got = [(r.id, r.source) for r in context.batch_sources(want, df, files).collect()]
     assert got == [("s2", "ü" * 20), ("s3", "def render_page()"), ("s2", "ü" * 20)]
+
+
+def test_ranks_are_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    rows = spark.range(5000).select("id", (F.col("id") % 37).cast("double").alias("score"))
+    want = {i: n for n, i in enumerate(sorted(range(5000), key=lambda i: (-(i % 37), i)), 1)}
+    for most in (search.ONE_TASK, 10):
+        monkeypatch.setattr(search, "ONE_TASK", most)
+        assert {r.id: r.r for r in search.ranks(rows, "r").collect()} == want
+        assert search.ranks(rows.where("false"), "r").count() == 0

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from trovex.functions import fuzzy as fz
 from trovex.functions import text as tx
 from trovex.operators.filters import narrowed
-from trovex.shelf import workers_find_us
+from trovex.shelf import Shelf, workers_find_us
 
 K1, B = 1.2, 0.4
 RRF_K, W_BM25, W_FUZZY = 60, 1.0, 0.5
 BUCKETS = 256
+#: Rows of (id, score) that are ranked in one task.
+ONE_TASK = 100_000
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -92,17 +94,26 @@ def fuzzy(rows: DataFrame, query: str, name: str = "name", threshold: int = 70)
     return near.withColumn("score", fz.similarity(query)(F.col(name)) / 100.0).where(F.col("score") >= threshold / 100.0)
 
 
-def fused(first: DataFrame, second: DataFrame, id: str = "id", depth: int = 1000) -> DataFrame:
-    """(id, score, match_type) by reciprocal ranks of two scored lists, ties by id; BM25 if in the first, else Fuzzy.
+def ranks(rows: DataFrame, rank: str, id: str = "id") -> DataFrame:
+    """(id, rank): the place of every row by falling score, ties by id, from 1.
 
-    Each list is ranked over its depth best rows, found without a global sort; a rank beyond changes a score by less than 1 / depth.
+    A list of up to ONE_TASK rows is numbered in one task. A longer one is cut into ranges of the order, numbered range by
+    range, and each range begins after the rows of those before it; so no task sees the whole list.
     """
-
-    def ranked(rows: DataFrame, rank: str) -> DataFrame:
-        best = rows.select(id, "score").orderBy(F.desc("score"), F.asc(id)).limit(depth)
-        return best.select(id, F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id))).alias(rank))
-
-    both = ranked(first, "r1").join(ranked(second, "r2"), id, "full_outer")
+    shelf, order = Shelf(rows.sparkSession), [F.desc("score"), F.asc(id)]
+    slim = shelf.keep(rows.select(id, "score"))
+    if slim.count() <= ONE_TASK:
+        return slim.select(id, F.row_number().over(Window.orderBy(*order)).cast("bigint").alias(rank))
+    parts = shelf.keep(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ahead = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return within.join(F.broadcast(ahead), "part").select(id, (F.col("ahead") + F.col("n")).alias(rank))  # ahead: a row per partition
+
+
+def fused(first: DataFrame, second: DataFrame, id: str = "id") -> DataFrame:
+    """(id, score, match_type) by reciprocal ranks in two scored lists, ties by id; BM25 if in the first, else Fuzzy."""
+    both = ranks(first, "r1", id).join(ranks(second, "r2", id), id, "full_outer")
     part = lambda r, w: F.coalesce(F.lit(w) / (F.lit(float(RRF_K)) + F.col(r)), F.lit(0.0))
     return both.select(id, (part("r1", W_BM25) + part("r2", W_FUZZY)).alias("score"), F.when(F.col("r1").isNotNull(), "BM25").otherwise("Fuzzy").alias("match_type"))
 
@@ -118,8 +129,8 @@ def symbol_text() -> Column:
 def search_symbols(symbols: DataFrame, query: str, kind: str | None = None, language: str | None = None, k: int = 20, threshold: int = 70) -> DataFrame:
     """The k best symbols by BM25 and fuzzy names, with score and match_type, of a kind and language."""
     some = narrowed(symbols, kind, language)
-    ranks = fused(bm25(some, query, symbol_text()), fuzzy(some, query, threshold=threshold))
-    return top(some.join(F.broadcast(top(ranks, k)), "id"), k)  # k rows
+    found = fused(bm25(some, query, symbol_text()), fuzzy(some, query, threshold=threshold))
+    return top(some.join(F.broadcast(top(found, k)), "id"), k)  # k rows
 
 
 def search_text(symbols: DataFrame, sources: DataFrame, needle: str, k: int = 20) -> DataFrame:

@@ -21,7 +21,7 @@ SQL: dict[str, str] = {}
 SEARCH = "licensed under the apache tion erblen einung"
 SHORT = "license version eaux"
 NEEDLE = "licens"
-NAME = "blanced almond"
+NAME = "smal gaer"
 BUDGET = 4000
 RANKS = 10
 
@@ -132,7 +132,7 @@ r1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r1 FROM
 c AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), '{NEEDLE}', ''))) // {len(NEEDLE)} AS n FROM documents),
 r2 AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS r2 FROM c WHERE n > 0)
 SELECT doc_id, round(coalesce(1.0::DOUBLE / (60.0::DOUBLE + r1), 0::DOUBLE) + coalesce(0.5::DOUBLE / (60.0::DOUBLE + r2), 0::DOUBLE), 9) AS score, CASE WHEN r1 IS NOT NULL THEN 'BM25' ELSE 'Fuzzy' END AS match_type
-FROM (SELECT * FROM r1 WHERE r1 <= 1000) FULL JOIN (SELECT * FROM r2 WHERE r2 <= 1000) USING (doc_id)""")
+FROM r1 FULL JOIN r2 USING (doc_id)""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = docs.select("doc_id", tx.occurrences(F.col("text"), NEEDLE).alias("score")).where("score > 0")
