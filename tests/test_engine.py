@@ -60,7 +60,7 @@ def test_folder_life(engine, repo, spark):
     assert engine.symbol_source("shop", "none") is None
     assert engine.ranked_context("shop", "load data", 4000).first().used_tokens > 0
     assert [r.path for r in engine.file_tree("shop", "MODELS").collect()] == ["models/user.py"]
-    assert {r.id for r in engine.file_outline("shop", "models/user.py").collect()} == {"models/user.py::User#class", "models/user.py::User.get_by_id#function"}
+    assert {r.id for r in engine.file_outline("shop", "models/user.py").collect()} == {"models/user.py::User#class", "models/user.py::get_by_id#function"}
     assert engine.importance("shop", 2).count() == 2
     assert "OrderService" not in {r.name for r in engine.dead_code("shop").collect()}
     assert engine.blast_radius("shop", "none").count() == 0

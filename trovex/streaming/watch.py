@@ -26,7 +26,7 @@ def sessions(events: DataFrame, ts: str = "ts", gap: str = QUIET, by: list[str]
 
 def folder_events(spark: SparkSession, root: str) -> DataFrame:
     """A stream of (path, ts, length) of files that appear or are written below root. Deletions and renames show in the listing that a refresh makes."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
     return files.select("path", F.col("modificationTime").alias("ts"), "length")
 
 
