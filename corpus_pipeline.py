@@ -24,7 +24,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     workers_find_us(spark)
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, near_dedup.WHOLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

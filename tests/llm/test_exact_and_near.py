@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from tests.llm.conftest import LONG, ROWS, SAME
 from tests.oracle import connect, same
@@ -88,6 +89,33 @@ def test_contained_text_goes_with_the_larger(spark):
     assert got == {1: 2, 2: 2}  # 3 is beyond the ratio of sizes, so an excerpt and no copy
 
 
+def test_excerpts_of_any_size_go_with_their_holders(spark):
+    w = [[f"e{i}x{k}" for k in range(600)] for i in range(20)]
+    rows = [(1000 + i, " ".join(x)) for i, x in enumerate(w)]
+    rows += [(n, " ".join(w[i][40 : 40 + size])) for n, (i, size) in enumerate((i, size) for i in range(20) for size in (4, 9, 19, 20, 60, 250))]
+    # Of 16 and of 54 shingles about a fifth are foreign, of the last ones half.
+    rows += [(200 + i, " ".join(x[100:116] + ["own", "words", "here"])) for i, x in enumerate(w)]
+    rows += [(300 + i, " ".join(x[100:150] + [f"own{k}" for k in range(7)])) for i, x in enumerate(w)]
+    rows += [(400 + i, " ".join(x[100:111] + [f"far{i}x{k}" for k in range(8)])) for i, x in enumerate(w)]
+    got = {}
+    for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), near_dedup.WHOLE).collect():
+        got.setdefault(r.keep_id, {r.keep_id}).add(r.id)
+    want = brute.near_groups(rows, max_ratio=float("inf"))
+    found, all_pairs = pairs(got.values()), pairs(ids for _, ids in want)
+    short = {i for i, t in rows if len(t.split()) <= 19}
+    assert found <= all_pairs and len(found) >= 0.9 * len(all_pairs)
+    assert {p for p in found if p[1] >= 1000 and p[0] in short} == {p for p in all_pairs if p[1] >= 1000 and p[0] in short}
+    assert not any(400 <= i < 500 for ids in got.values() for i in ids)
+
+
+def test_query_and_pipeline_take_excerpts(spark, tmp_path):
+    w = [f"y{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[30:90])), (3, " ".join(w[50:56]))], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.keep_id) for r in queries.op6_near_dedup(spark, str(tmp_path)).collect()} == {(2, 1), (3, 1)}
+    assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_thousands_of_copies_are_one_group(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(f"v{i}" for i in range(80)) + " tail"), F.col("id").cast("string")).alias("text"))
     assert [r.doc_id for r in near_dedup.drop_near_copies(rows).collect()] == [0]

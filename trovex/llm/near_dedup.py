@@ -4,6 +4,10 @@ Documents are sets of word shingles (lower-cased words, punctuation dropped). Fo
 sizes and indexed sizes are split into geometric classes; for a query class and an index class d steps above, the
 containment threshold becomes the Jaccard threshold t / (ratio + 1 - t) at the largest size ratio of the two classes,
 and bands and rows are tuned for it alone. Every candidate is then checked on the sets themselves.
+
+Sizes too far apart for MinHash (beyond max_ratio, with excerpts) are searched by shingles instead: the PROBES least
+shingle hashes of each set, all of a set of no more, are looked up in all larger sets, rarest first and only as many as a
+held set can't do without. Sets of up to PROBES shingles are found without exception, others by a chance stated at _needed.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from pyspark.sql import functions as F
 from trovex.llm import kernel as K
 from trovex.llm.shared import Shelf, col, components, key_join
 
-SETS = "id string, k bigint, len int, h bigint, n int, keys binary, sketch binary"
+SETS = "id string, k bigint, len int, h bigint, n int, keys binary, sketch binary, probes binary"
 #: Buckets of more sets are first linked by their hub alone.
 HUB = 16
 #: MinHash values in a sketch, a byte each.
 SKETCH = 64
+#: Shingles of a set that are looked up in larger ones, 8 bytes each.
+PROBES = 16
+#: The filter of shingles that are looked up has so many bits for each, within these bounds (64 MB); a fuller one lets more rows pass and loses none.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 32, 20, 29
 
 
 @dataclass(frozen=True)
 class Ensemble:
-    """threshold: containment from which a smaller set counts as held by a larger one. max_ratio: a set of more times
-    the size holds an excerpt, no near copy, and is no partner. step: ratio of neighbouring size classes. recall: of a
+    """threshold: containment from which a smaller set counts as held by a larger one. max_ratio: up to which MinHash
+    finds partners; a set of more times the size is a partner only with excerpts. step: ratio of neighbouring size classes. recall: of a
     pair at the threshold, by which each banding is tuned within hashes MinHash values. Bandings have three rows at least: with two, chance pairs outnumber the documents."""
 
     shingle: int = 4
@@ -41,6 +49,7 @@ class Ensemble:
     hashes: int = 256
     recall: float = 0.9
     seed: int = 7
+    excerpts: bool = False
     bandings: tuple[tuple[int, int], ...] = field(init=False)
 
     def __post_init__(self):
@@ -69,6 +78,10 @@ class Ensemble:
         return out
 
 
+#: Pairs of all size ratios.
+WHOLE = Ensemble(excerpts=True)
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """A binary array with the bytes of each row of a matrix."""
     ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
@@ -97,6 +110,90 @@ def _band_keys(sig: np.ndarray, tables: dict[int, int]) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _least(elems: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The first PROBES shingles of each set, which are its least hashes and so a sample by chance."""
+    size = np.minimum(n, PROBES)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    picked = elems[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(picked.astype(np.int64).tobytes())])
+
+
+def _needed(cfg: Ensemble) -> tuple[Column, Column]:
+    """(probes, hits): a set of n shingles that is held at the threshold has so many of its rarest probes in the holder.
+
+    Exact where all n shingles are probes: no more than n less the least overlap can be missing. Of a larger set's PROBES
+    a share of 1 - threshold is missing on average, and at the threshold all but one of the first 11 with a chance of 0.7 %.
+    """
+    need = F.ceil(F.lit(cfg.threshold) * F.col("na") - F.lit(1e-9))
+    few = F.col("na") <= PROBES
+    most = next(x for x in range(PROBES) if _tail(PROBES, 1 - cfg.threshold, x + 1) <= 0.01)
+    return F.when(few, F.col("na") - need + 1).otherwise(min(PROBES, most + 2)).cast("int"), F.when(few, 1).otherwise(2 if most + 2 <= PROBES else 1)
+
+
+def _tail(n: int, p: float, k: int) -> float:
+    """The chance of k or more of n."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(e, a, na) for each probe of sets."""
+    for batch in batches:
+        probes = batch.column(2).to_pylist()
+        size = np.fromiter((len(x) // 8 for x in probes), np.int64, len(probes))
+        h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(probes), np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size))], names=["e", "a", "na"])
+
+
+def _hits(cfg: Ensemble, bits: int, words):
+    """(e, h, n) for each shingle of texts that the filter lets pass."""
+    mask = K.U64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(words.value, np.uint8)
+        for batch in batches:
+            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(0)), cfg.shingle):
+                ok = np.ones(len(elems), bool)
+                for slot in (elems & mask, (elems >> K.U64(11)) & mask):
+                    ok &= (table[slot >> K.U64(3)] >> (slot & K.U64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                owner = np.repeat(np.arange(len(at)), n)[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(elems[ok].astype(np.int64)), pa.array(h[owner]), pa.array(n[owner].astype(np.int32))], names=["e", "h", "n"])
+
+    return run
+
+
+def _excerpts(shelf: Shelf, rows: DataFrame, one: DataFrame, cfg: Ensemble) -> DataFrame:
+    """Candidates (a, b, na, nb) of set sizes beyond max_ratio: a's rarest probes are in b.
+
+    All texts are read once more. A filter of all probes, of bounded size and broadcast, drops most shingles before the
+    shuffle; only then are shingles matched exactly.
+    """
+    spark = shelf.spark
+    probes = shelf.keep(one.select("h", "n", "probes").mapInArrow(_exploded, "e bigint, a bigint, na int"))
+    bits = min(max(FILTER_LEAST, math.ceil(math.log2(FILTER_BITS * max(1, probes.count())))), FILTER_MOST)
+    slot = F.explode(F.array(F.col("e"), F.shiftright("e", 11))).alias("s")
+    slots = probes.select(slot).select(F.col("s").bitwiseAND((1 << bits) - 1).alias("s"))
+    parts = slots.groupBy(F.expr("s div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("bitmap"))
+    table = bytearray(1 << bits - 3)
+    for r in parts.toLocalIterator():  # 4 KB each, 64 MB in all at most
+        table[r.part * 4096 : r.part * 4096 + len(r.bitmap)] = r.bitmap
+    words = spark.sparkContext.broadcast(bytes(table))
+    hits = rows.select("t").mapInArrow(_hits(cfg, bits, words), "e bigint, h bigint, n int")
+    hits = hits.join(probes.select("e").distinct(), "e", "left_semi").distinct()
+    df = Window.partitionBy("e")
+    hits = shelf.keep(hits.withColumn("df", F.count(F.lit(1)).over(df)).where("df > 1"))
+    words.unpersist()
+    # Probes in one set alone, their own, are the rarest.
+    seen = hits.select("e", F.col("h").alias("a"), "df")
+    asked = probes.join(seen, ["e", "a"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    count, least = _needed(cfg)
+    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("df", "e"))).where(F.col("place") <= count).where("df > 1")
+    pairs = asked.select("e", "a", "na").join(hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb")), "e").where(F.col("nb") > F.lit(cfg.max_ratio) * F.col("na"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least)
+    out = shelf.keep(pairs.select("a", "b", "na", "nb"))
+    shelf.drop(probes, hits)
+    return out
+
+
 def _sets(cfg: Ensemble):
     seeds, tables = K.hash_seeds(cfg.hashes, cfg.seed), cfg.tables()
 
@@ -106,8 +203,8 @@ def _sets(cfg: Ensemble):
             for docs, elems, at, n, h in _shingled(K.text_array(batch.column(2)), cfg.shingle):
                 sig, pick = K.minhash(elems, at, seeds), pa.array(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(n.astype(np.int32)), _binary(_band_keys(sig, tables)), _binary((sig[:, :SKETCH] >> 8).astype(np.uint8))],
-                    names=["id", "k", "len", "h", "n", "keys", "sketch"],
+                    [ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(n.astype(np.int32)), _binary(_band_keys(sig, tables)), _binary((sig[:, :SKETCH] >> 8).astype(np.uint8)), _least(elems, at, n)],
+                    names=["id", "k", "len", "h", "n", "keys", "sketch", "probes"],
                 )
 
     return run
@@ -175,13 +272,19 @@ def _class(cfg: Ensemble, n: Column) -> Column:
 def _checked(shelf: Shelf, rows: DataFrame, sets: DataFrame, one: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
     """Of the candidates (a, b, na, nb) those whose sets reach the threshold of the smaller: (a, b, na, nb, both).
 
-    Sketches sort out chance pairs first: 0.15 below the least Jaccard similarity is over 2.5 standard errors away. The sets
-    of those left are made anew from their texts, so that sets needn't be kept for all documents.
+    Sketches sort out chance pairs first: 0.15 below the least Jaccard similarity is over 2.5 standard errors away.
     """
     sketch = one.select("h", "sketch")
     pairs = pairs.join(sketch.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")
     least = cfg.jaccard(len(cfg.bandings) - 1) - 0.15
-    pairs = shelf.keep(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(least), "a bigint, b bigint, na int, nb int"))
+    return _exact(shelf, rows, sets, shelf.keep(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(least), "a bigint, b bigint, na int, nb int")), cfg)
+
+
+def _exact(shelf: Shelf, rows: DataFrame, sets: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
+    """_checked without the sketches; pairs is a kept table, which is dropped.
+
+    The sets are made anew from their texts, so that sets needn't be kept for all documents.
+    """
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     texts = shelf.keep(sets.join(needed, "h", "left_semi").groupBy("h").agg(F.min("k").alias("k")).select("k").distinct())
     elems = key_join(rows.select("t", "k"), texts, ["k"], "left_semi").dropDuplicates(["k"]).select("t").mapInArrow(_elements(cfg), "h bigint, elems binary")
@@ -210,7 +313,7 @@ def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id",
     rows = docs.select(col(docs, id).cast("string").alias("id"), F.xxhash64(t).alias("k"), t.alias("t"), F.octet_length(t).alias("len")).where("t is not null and t <> ''")
     sets = shelf.keep(rows.mapInArrow(_sets(cfg), SETS))
 
-    one = shelf.keep(sets.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    one = shelf.keep(sets.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), *([F.first("probes").alias("probes")] if cfg.excerpts else [])))
     # One shuffle brings each bucket together; buckets of one set are dropped at once.
     members = Window.partitionBy("key")
     index = one.select("h", "n", "keys").mapInArrow(_buckets(cfg), "key bigint, h bigint, tag bigint")
@@ -237,6 +340,8 @@ def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id",
     pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     rest = _checked(shelf, rows, sets, one, pairs, cfg)
     found = first.union(rest)
+    if cfg.excerpts:
+        found = found.union(_exact(shelf, rows, sets, _excerpts(shelf, rows, one, cfg), cfg))
     shelf.drop(labelled, one)
 
     label = shelf.keep(components(shelf, near(found)))

@@ -37,7 +37,7 @@ def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, keep_id) of every document that goes, with the one of its group that stays."""
-    groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+    groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"), near_dedup.WHOLE)
     return groups.where("not stays").selectExpr("id as doc_id", "keep_id")
 
 
