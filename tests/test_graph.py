@@ -72,6 +72,14 @@ def test_outline(spark):
     assert got["MyClass"].child_count == 2 and got["do_work"].path == ["MyClass", "do_work"] and got["main"].start_line == 22
 
 
+def test_outline_of_long_chains_and_loops(spark):
+    rows = [(f"a{i}", f"a{i - 1}", i) for i in range(700)] + [(f"b{i}", f"b{i - 1}", i) for i in range(64, 129)]
+    rows += [("x", "z", 1), ("y", "x", 2), ("z", "y", 3), ("under", "x", 4), ("self", "self", 5)]
+    got = {r.id: r for r in outline.outline(spark.createDataFrame(rows, "id string, parent_id string, start_line int")).collect()}
+    assert {i: (r.root_id, r.depth, r.child_count) for i, r in got.items()} == {f"a{i}": ("a0", i, int(i < 699)) for i in range(700)} | {f"b{i}": ("b64", i - 64, int(i < 128)) for i in range(64, 129)}
+    assert got["a699"].path == [f"a{i}" for i in range(700)]
+
+
 def test_file_tree(spark):
     df = spark.createDataFrame([("src/b.py",), ("SRC/a.py",), ("lib/c.py",), ("src/b.py",)], "path string")
     assert [r.path for r in outline.file_tree(df, "Src").collect()] == ["SRC/a.py", "src/b.py"]

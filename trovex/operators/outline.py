@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from trovex.shelf import Shelf
 
 
-def outline(symbols: DataFrame, id: str = "id", parent: str = "parent_id", order: str = "start_line", max_depth: int = 64) -> DataFrame:
+def outline(symbols: DataFrame, id: str = "id", parent: str = "parent_id", order: str = "start_line") -> DataFrame:
     """symbols with depth (roots 0), root_id, child_count and path (ids from the root). One whose parent isn't there is a root.
 
-    Repeated identifiers count once, the first line wins. One join per level; a chain that loops has no root and is left out.
+    Repeated identifiers count once, the first line wins. Chains may be of any length: every round doubles the reach of all
+    rows, so depth d needs about log d joins. A chain that loops has no root and is left out.
     """
     shelf = Shelf(symbols.sparkSession)
     first = F.row_number().over(Window.partitionBy(id).orderBy(order))
@@ -19,18 +20,23 @@ def outline(symbols: DataFrame, id: str = "id", parent: str = "parent_id", order
     links = once.select(F.col(id).alias("_id"), F.col(parent).alias("_parent"))
     known = links.join(links.select(F.col("_id").alias("_parent")), "_parent", "left_semi")
     kids = known.groupBy(F.col("_parent").alias("_id")).agg(F.count(F.lit(1)).cast("int").alias("child_count"))
-    level = links.join(known.select("_id"), "_id", "left_anti").select("_id", F.lit(0).alias("depth"), F.col("_id").alias("root_id"), F.array("_id").alias("path"))
-    levels = [level]
-    for _ in range(max_depth):
-        above = level.select(F.col("_id").alias("_parent"), "depth", "root_id", "path")
-        level = shelf.keep(known.join(above, "_parent").select("_id", (F.col("depth") + 1).alias("depth"), "root_id", F.array_append("path", F.col("_id")).alias("path")))
-        if level.isEmpty():
+    roots = links.join(known.select("_id"), "_id", "left_anti")
+    # _up: the row above those of path, null where path begins at a root.
+    cur = roots.select("_id", F.lit(None).cast(links.schema["_id"].dataType).alias("_up"), F.array("_id").alias("path"))
+    cur = shelf.keep(cur.union(known.select("_id", F.col("_parent").cast(links.schema["_id"].dataType), F.array("_id"))))
+    waiting = cur.where("_up is not null").count()
+    while waiting:
+        above = cur.select(F.col("_id").alias("_at"), F.col("_up").alias("_next"), F.col("path").alias("_before"))
+        higher = cur.where("_up is not null").join(above, F.col("_up") == F.col("_at")).select("_id", F.col("_next").alias("_up"), F.concat("_before", "path").alias("path"))
+        nxt = shelf.keep(cur.where("_up is null").union(higher))
+        left = nxt.where("_up is not null").count()
+        shelf.drop(cur)
+        cur = nxt
+        if left == waiting:  # no row of the next depths: what is left loops
             break
-        levels.append(level)
-    tree = levels[0]
-    for x in levels[1:]:
-        tree = tree.union(x)
-    return once.join(tree.withColumnRenamed("_id", id), id).join(kids.withColumnRenamed("_id", id), id, "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+        waiting = left
+    tree = cur.where("_up is null").select(F.col("_id").alias(id), (F.size("path") - 1).alias("depth"), F.get("path", F.lit(0)).alias("root_id"), "path")
+    return once.join(tree, id).join(kids.withColumnRenamed("_id", id), id, "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
 
 
 def file_outline(symbols: DataFrame, path: str) -> DataFrame:
