@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovex.operators import graph, incremental, intervals, outline
+from trovex.plans import catalogue
 
 
 def edges(spark, pairs):
@@ -35,6 +36,19 @@ def test_pagerank_against_plain_loop(spark, names, pairs):
     assert max(got.values()) == pytest.approx(1.0)
 
 
+def test_whole_pagerank_takes_all_edges_to_the_tolerance(spark, tmp_path):
+    # Low quantities throughout, many rounds to the tolerance (the cycles 1-2 and 3-4-5), 8 and 9 end orders alone, 10 is in none.
+    orders = [[1, 2, 1, 2, 1], [3, 4, 5, 3], [2, 8], [6, 3, 9], [7, 6, 99, 1], [4, 9]]
+    lines = [(o, n, p, 1, 50.0 if (o + n) % 4 == 0 else 3.0) for o, ps in enumerate(orders) for n, p in enumerate(ps)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 11)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    want = brute(list(range(1, 11)), [e for ps in orders for e in zip(ps, ps[1:])])
+    got = {r.id: r["rank"] for r in catalogue.pagerank_whole(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    best = catalogue.importance_whole(spark, str(tmp_path)).collect()
+    assert [r.id for r in best] == sorted(want, key=lambda k: (-round(want[k], 9), k)) and all(r.score == got[r.id] for r in best)
+
+
 def test_pagerank_of_nothing(spark):
     assert graph.pagerank(nodes(spark, ""), edges(spark, [])).count() == 0
 

@@ -239,6 +239,23 @@ def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.importance(ranks).select("id", F.round("score", 6).alias("score"), "match_type")
 
 
+def _whole_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all edges, with the operator's own rounds and tolerance."""
+    return graph.pagerank(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), part_edges(spark, sf_dir))
+
+
+@query()
+def pagerank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pagerank, whose SQL is held to the edges of q >= 45 and RANKS rounds; a loop to a tolerance has no SQL here."""
+    return _whole_ranks(spark, sf_dir).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _whole_ranks(spark, sf_dir).withColumn("centrality_score", F.round("rank", 9))
+    return graph.importance(ranks).select("id", F.round("score", 6).alias("score"), "match_type")
+
+
 @query(f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT src_id, dst_id FROM edges),
 walk AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT e.src_id, depth + 1 FROM walk JOIN e ON e.dst_id = walk.id WHERE depth < 2)
 SELECT id, min(depth)::INT AS depth FROM walk WHERE id <> 1 GROUP BY id""")
