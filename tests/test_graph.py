@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,18 @@ def test_dead(spark):
     assert dead == {"truly_dead", "caller"}
 
 
+def test_whole_dead_takes_all_lines(spark, tmp_path):
+    lines = [(1, 1, "N", 3.0), (1, 2, "R", 50.0), (2, 3, "R", 10.0), (3, None, "A", 50.0), (3, 9, "A", 50.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"part {i}") for i in range(1, 6)], "p_partkey bigint, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, catalogue.dead_symbols_whole(spark, str(tmp_path)).collect()))
+    assert got == [(4, "part 4", graph.DEAD_REASON), (5, "part 5", graph.DEAD_REASON)]
+    db = duckdb.connect()
+    for t in ("lineitem", "part"):
+        db.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(db.sql(f"SELECT p_partkey, p_name, '{graph.DEAD_REASON}' FROM part WHERE NOT EXISTS (SELECT * FROM lineitem WHERE l_partkey = p_partkey)").fetchall()) == got
+
+
 def test_blast_radius(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "core"), ("core", "a"), ("ghost", "core")])
     at = lambda d: {r.id: r.depth for r in graph.blast_radius(e, "core", d).collect()}
