@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from trovex.functions.fuzzy import partial_ratio
@@ -34,5 +36,14 @@ def test_extracted_symbols_against_plain_python(spark, sf):
     assert got == want and len(got) == 14
 
 
+@pytest.mark.parametrize("name", ["json_export_whole", "stream_ingest_whole"])
+def test_texts_go_through_whole(spark, tmp_path, name):
+    texts = ['"quoted" \\ back\\nslash', "line\nfeed\r\n\ttab \x00 \x1f \x7f", "é漢字 🙂 \u2028", "", None, "</script> {\"a\": [1]}", "long " * 200_000 + '"' * 50_000]
+    rows = [(i, t, "en", None if i == 2 else "src", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select("doc_id", "lang", "source", "n_chars", "text_hash").collect()}
+    assert got == {(i, lang, s, n, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, lang, s, n in rows}
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)

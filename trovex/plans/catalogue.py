@@ -431,3 +431,32 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to JSON and back."""
     lines = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
     return lines.select(F.from_json("line", "doc_id bigint, lang string, source string, n_chars bigint").alias("r")).select("r.*")
+
+
+TEXTS_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_hash FROM documents"
+
+
+@query(TEXTS_SQL)
+def json_export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As json_export, texts included; of the texts that came back the hashes. Lines go through files: Spark's optimizer
+    strikes from_json of to_json out, so that nothing would become JSON.
+    """
+    shelf, docs = Shelf(spark), table(spark, sf_dir, "documents")
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("line")).write.text(f"{shelf.base}/lines")
+    lines = spark.read.text(f"{shelf.base}/lines").withColumnRenamed("value", "line")
+    return _hashed(lines.select(F.from_json("line", docs.schema).alias("r")).select("r.*"))
+
+
+@query(TEXTS_SQL)
+def stream_ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_ingest, with all columns through the sink; of the texts that were written the hashes."""
+    shelf = Shelf(spark)
+    rows = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(sf_dir, shelf, spark))
+    write = stream.writeStream.format("parquet").option("path", f"{shelf.base}/in").option("checkpointLocation", f"{shelf.base}/state")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return _hashed(spark.read.parquet(f"{shelf.base}/in"))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_hash"))
