@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is eight times this.
 BATCH_BYTES = 8 << 20
@@ -52,7 +53,12 @@ class Shelf:
     def keep(self, df: DataFrame, codec: str = "lz4") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # once the table is there, nobody reads its shuffle files
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *kept: DataFrame) -> None:
