@@ -48,45 +48,54 @@ class Joined:
         self.up[max(x, y)] = min(x, y)
 
 
-def near_groups(rows, threshold=0.7, max_ratio=2.0):
+def near_groups(rows, threshold=0.7):
     """[(kept identifier, all identifiers)] of (id, text) rows; identifiers are distinct here."""
     at = defaultdict(list)
     for i, t in rows:
         if s := shingles(t):
             at[s].append(i)
     sets = sorted(at, key=lambda s: min(at[s]))
+    has = defaultdict(list)
+    for j, s in enumerate(sets):
+        for x in s:
+            has[x].append(j)
     same, held = Joined(), []
     for j, a in enumerate(sets):
         same.root(j)
-        for k in range(j):
+        common = defaultdict(int)
+        for x in a:
+            for k in has[x]:
+                if k < j:
+                    common[k] += 1
+        for k, both in common.items():
             b = sets[k]
-            both = len(a & b)
             less, more = sorted((len(a), len(b)))
-            if both >= threshold * more:
+            if both >= threshold * more - 1e-9:
                 same.join(j, k)
-            elif both >= threshold * less and more <= max_ratio * less:
+            elif both >= threshold * less - 1e-9:
                 held.append((j, k, both / less) if len(a) < len(b) else (k, j, both / less))
-    members = defaultdict(list)
+    crowds = defaultdict(list)
     for j in range(len(sets)):
-        members[same.root(j)].append(j)
-    most = {r: max(len(sets[j]) for j in js) for r, js in members.items()}
+        crowds[same.root(j)].append(j)
+    chief = {r: min(js, key=lambda j: min(at[sets[j]])) for r, js in crowds.items()}  # the set of the document that would stay
+    first = {r: min(at[sets[j]]) for r, j in chief.items()}
     best = {}
     for small, large, share in held:
         x, y = same.root(small), same.root(large)
-        if x != y and most[y] > most[x]:
-            best[x] = max(best.get(x, (-1, 0)), (share, -y))
+        if x != y and small == chief[x]:
+            best[x] = min(best.get(x, (0,)), (-share, -len(sets[large]), first[y], y))
     tree = Joined()
-    for x, (_, y) in best.items():
-        tree.join(x, -y)
+    for x, way in best.items():
+        tree.join(x, way[-1])
     groups = defaultdict(list)
-    for r in members:
+    for r in crowds:
         groups[tree.root(r)].append(r)
     out = []
     for rs in groups.values():
-        ids = [i for r in rs for j in members[r] for i in at[sets[j]]]
+        ids = [i for r in rs for j in crowds[r] for i in at[sets[j]]]
         if len(ids) > 1:
-            head = max(rs, key=lambda r: most[r])
-            out.append((min(i for j in members[head] for i in at[sets[j]]), sorted(ids)))
+            head = min(rs, key=lambda r: (r in best, -len(sets[chief[r]]) if r in best else 0, first[r]))
+            out.append((first[head], sorted(ids)))
     return out
 
 

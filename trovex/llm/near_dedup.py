@@ -1,13 +1,14 @@
 """Operator 6: near duplicates by a MinHash containment ensemble.
 
-Documents are sets of word shingles (lower-cased words, punctuation dropped). For a containment threshold t, query
-sizes and indexed sizes are split into geometric classes; for a query class and an index class d steps above, the
-containment threshold becomes the Jaccard threshold t / (ratio + 1 - t) at the largest size ratio of the two classes,
-and bands and rows are tuned for it alone. Every candidate is then checked on the sets themselves.
-
-Sizes too far apart for MinHash (beyond max_ratio, with excerpts) are searched by shingles instead: the PROBES least
-shingle hashes of each set, all of a set of no more, are looked up in all larger sets, rarest first and only as many as a
-held set can't do without. Sets of up to PROBES shingles are found without exception, others by a chance stated at _needed.
+Documents are sets of word shingles (lower-cased words, punctuation dropped). Sets are partitioned by size into geometric
+classes. For sets whose classes are d steps apart, the containment threshold t becomes the Jaccard threshold
+t / (ratio + 1 - t) at the largest size ratio of the two classes, and bands and rows are tuned for it alone. Every
+candidate is checked on the sets themselves.
+
+MinHash finds partners of up to 1 / t times the size; near copies are never further apart. Beyond that the Jaccard
+threshold falls so low that chance collisions outnumber the documents, so there the documents that would stay are looked
+up by shingles in all larger sets: the PROBES least shingle hashes of each, rarest first and only as many as a held
+set can't do without. Sets of up to PROBES shingles are found without exception, others by a chance stated at _needed.
 """
 
 from __future__ import annotations
@@ -25,50 +26,57 @@ from pyspark.sql import functions as F
 from trovex.llm import kernel as K
 from trovex.llm.shared import Shelf, col, components, key_join
 
-SETS = "id string, k bigint, len int, h bigint, n int, keys binary, sketch binary, probes binary"
-#: Buckets of more sets are first linked by their hub alone.
+WIDE = "id string, k bigint, len int, h bigint, alt bigint, n int, keys binary, bits binary, probes binary"
+#: Buckets of more sets are first linked by the hubs of their size classes alone. It changes cost, not results.
 HUB = 16
-#: MinHash values in a sketch, a byte each.
-SKETCH = 64
-#: Shingles of a set that are looked up in larger ones, 8 bytes each.
-PROBES = 16
+#: Shingles of a set that are looked up in larger ones.
+PROBES = 32
 #: The filter of shingles that are looked up has so many bits for each, within these bounds (64 MB); a fuller one lets more rows pass and loses none.
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 32, 20, 29
+#: Bytes of a shingle's hash.
+ELEMENT = 5
+#: Rows of (probe, set) that are broadcast, 20 bytes each; more are joined by shuffle.
+FEW_ASKED = 2_000_000
+#: Pairs of sets that share their hash are told apart through a table of so many rows at most, 16 bytes each; 64-bit hashes of 10**12 sets give about 30,000.
+CLASHES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Ensemble:
-    """threshold: containment from which a smaller set counts as held by a larger one. max_ratio: up to which MinHash
-    finds partners; a set of more times the size is a partner only with excerpts. step: ratio of neighbouring size classes. recall: of a
-    pair at the threshold, by which each banding is tuned within hashes MinHash values. Bandings have three rows at least: with two, chance pairs outnumber the documents."""
+    """threshold: containment from which a smaller set counts as held by a larger one. step: ratio of neighbouring size
+    classes. recall: of a pair at the threshold, by which each banding is tuned within hashes MinHash values.
+    hash_bits: of the sets' hashes; fewer than 64 are for tests."""
 
     shingle: int = 4
     threshold: float = 0.7
-    max_ratio: float = 2.0
-    step: float = math.sqrt(2)
-    hashes: int = 256
+    step: float = 1.1
+    hashes: int = 128
     recall: float = 0.9
     seed: int = 7
-    excerpts: bool = False
+    hash_bits: int = 64
     bandings: tuple[tuple[int, int], ...] = field(init=False)
 
     def __post_init__(self):
         steps = math.ceil(math.log(self.max_ratio) / math.log(self.step) - 1e-9) + 1
         object.__setattr__(self, "bandings", tuple(self.tuned(d) for d in range(steps)))
 
+    @property
+    def max_ratio(self) -> float:
+        """Of sizes, up to which MinHash finds partners."""
+        return 1 / self.threshold
+
     def jaccard(self, d: int) -> float:
         """The least Jaccard similarity of a pair at the threshold whose classes are d steps apart."""
-        ratio = min(self.step ** (d + 1), self.max_ratio)
-        return self.threshold / (ratio + 1 - self.threshold)
+        return self.threshold / (min(self.step ** (d + 1), self.max_ratio) + 1 - self.threshold)
 
     def tuned(self, d: int) -> tuple[int, int]:
-        """(bands, rows): the most rows, then the fewest bands, that reach the recall; three rows and all hashes where none does."""
+        """(bands, rows): the most rows, then the fewest bands, that reach the recall within the hashes. Hashes that reach it with no rows at all raise."""
         j = self.jaccard(d)
-        for rows in range(8, 2, -1):
+        for rows in range(8, 0, -1):
             need = math.ceil(math.log(1 - self.recall) / math.log(1 - j**rows))
             if need * rows <= self.hashes:
                 return need, rows
-        return self.hashes // 3, 3
+        raise ValueError(f"{self.hashes} hashes don't reach a recall of {self.recall}")
 
     def tables(self) -> dict[int, int]:
         """Bands by rows, as many as any classes need."""
@@ -78,25 +86,45 @@ class Ensemble:
         return out
 
 
-#: Pairs of all size ratios.
-WHOLE = Ensemble(excerpts=True)
+#: Hashes that several sets share, with the least alt of each.
+Clashes = tuple[np.ndarray, np.ndarray]
+NO_CLASH: Clashes = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
     """A binary array with the bytes of each row of a matrix."""
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+    return _pieces(np.ascontiguousarray(rows).view(np.uint8).ravel(), np.full(len(rows), rows.shape[1] * rows.itemsize, np.int64))
+
+
+def _pieces(raw: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary array of pieces of raw, one after another."""
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
 
+def _shingled(texts: pa.Array, cfg: Ensemble, clashes: Clashes = NO_CLASH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text indices, shingles, first shingle of each, number, hash of the set, alt) for runs of texts, those without words left out.
 
-def _shingled(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text indices, shingles, first shingle of each, number, hash of the set) for runs of texts, those without words left out."""
+    alt is a second hash. Where several sets share a hash, all but the one of the least alt have their alt for a hash.
+    """
+    mask = K.U64((1 << cfg.hash_bits) - 1)
     for a, b in K.runs(texts):
         doc, hashes, _, _ = K.words(pc.utf8_lower(texts.slice(a, b - a)))
-        d, elems = K.shingles(doc, hashes, b - a, size)
+        d, elems = K.shingles(doc, hashes, b - a, cfg.shingle)
         docs, at = K.per_doc(d)
         if len(docs):
             n = np.diff(np.append(at, len(elems)))
-            yield docs + a, elems, at, n, K.mix(np.add.reduceat(K.mix(elems + K.U64(1)), at) ^ n.astype(K.U64)).view(np.int64)
+            h = (K.mix(np.add.reduceat(K.mix(elems + K.U64(1)), at) ^ n.astype(K.U64)) & mask).view(np.int64)
+            alt = K.mix(np.add.reduceat(K.mix(elems ^ K.U64(0xA24BAED4963EE407)), at) + n.astype(K.U64)).view(np.int64)
+            if len(clashes[0]):
+                place = np.searchsorted(clashes[0], h)
+                place[place == len(clashes[0])] = 0
+                h = np.where((clashes[0][place] == h) & (clashes[1][place] != alt), alt, h)
+            yield docs + a, elems, at, n, h, alt
+
+
+def _once(h: np.ndarray) -> np.ndarray:
+    """Indices of the first of each hash, in order."""
+    return np.sort(np.unique(h, return_index=True)[1])
 
 
 def _band_keys(sig: np.ndarray, tables: dict[int, int]) -> np.ndarray:
@@ -115,124 +143,74 @@ def _least(elems: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Array:
     size = np.minimum(n, PROBES)
     ends = np.concatenate([[0], np.cumsum(size)])
     picked = elems[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(picked.astype(np.int64).tobytes())])
+    return _pieces(_packed(picked), size * ELEMENT)
 
 
-def _needed(cfg: Ensemble) -> tuple[Column, Column]:
-    """(probes, hits): a set of n shingles that is held at the threshold has so many of its rarest probes in the holder.
-
-    Exact where all n shingles are probes: no more than n less the least overlap can be missing. Of a larger set's PROBES
-    a share of 1 - threshold is missing on average, and at the threshold all but one of the first 11 with a chance of 0.7 %.
-    """
-    need = F.ceil(F.lit(cfg.threshold) * F.col("na") - F.lit(1e-9))
-    few = F.col("na") <= PROBES
-    most = next(x for x in range(PROBES) if _tail(PROBES, 1 - cfg.threshold, x + 1) <= 0.01)
-    return F.when(few, F.col("na") - need + 1).otherwise(min(PROBES, most + 2)).cast("int"), F.when(few, 1).otherwise(2 if most + 2 <= PROBES else 1)
-
+def _packed(elems: np.ndarray) -> np.ndarray:
+    return elems.view(np.uint8).reshape(-1, 8)[:, :ELEMENT]
 
-def _tail(n: int, p: float, k: int) -> float:
-    """The chance of k or more of n."""
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
+def _unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // ELEMENT, 8), np.uint8)
+    out[:, :ELEMENT] = np.frombuffer(x, np.uint8).reshape(-1, ELEMENT)
+    return out.view(np.uint64).ravel()
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(e, a, na) for each probe of sets."""
-    for batch in batches:
-        probes = batch.column(2).to_pylist()
-        size = np.fromiter((len(x) // 8 for x in probes), np.int64, len(probes))
-        h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(probes), np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size))], names=["e", "a", "na"])
 
-
-def _hits(cfg: Ensemble, bits: int, words):
-    """(e, h, n) for each shingle of texts that the filter lets pass."""
-    mask = K.U64((1 << bits) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(words.value, np.uint8)
-        for batch in batches:
-            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(0)), cfg.shingle):
-                ok = np.ones(len(elems), bool)
-                for slot in (elems & mask, (elems >> K.U64(11)) & mask):
-                    ok &= (table[slot >> K.U64(3)] >> (slot & K.U64(7)).astype(np.uint8)) & np.uint8(1) == 1
-                owner = np.repeat(np.arange(len(at)), n)[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(elems[ok].astype(np.int64)), pa.array(h[owner]), pa.array(n[owner].astype(np.int32))], names=["e", "h", "n"])
-
-    return run
-
-
-def _excerpts(shelf: Shelf, rows: DataFrame, one: DataFrame, cfg: Ensemble) -> DataFrame:
-    """Candidates (a, b, na, nb) of set sizes beyond max_ratio: a's rarest probes are in b.
-
-    All texts are read once more. A filter of all probes, of bounded size and broadcast, drops most shingles before the
-    shuffle; only then are shingles matched exactly.
-    """
-    spark = shelf.spark
-    probes = shelf.keep(one.select("h", "n", "probes").mapInArrow(_exploded, "e bigint, a bigint, na int"))
-    bits = min(max(FILTER_LEAST, math.ceil(math.log2(FILTER_BITS * max(1, probes.count())))), FILTER_MOST)
-    slot = F.explode(F.array(F.col("e"), F.shiftright("e", 11))).alias("s")
-    slots = probes.select(slot).select(F.col("s").bitwiseAND((1 << bits) - 1).alias("s"))
-    parts = slots.groupBy(F.expr("s div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("bitmap"))
-    table = bytearray(1 << bits - 3)
-    for r in parts.toLocalIterator():  # 4 KB each, 64 MB in all at most
-        table[r.part * 4096 : r.part * 4096 + len(r.bitmap)] = r.bitmap
-    words = spark.sparkContext.broadcast(bytes(table))
-    hits = rows.select("t").mapInArrow(_hits(cfg, bits, words), "e bigint, h bigint, n int")
-    hits = hits.join(probes.select("e").distinct(), "e", "left_semi").distinct()
-    df = Window.partitionBy("e")
-    hits = shelf.keep(hits.withColumn("df", F.count(F.lit(1)).over(df)).where("df > 1"))
-    words.unpersist()
-    # Probes in one set alone, their own, are the rarest.
-    seen = hits.select("e", F.col("h").alias("a"), "df")
-    asked = probes.join(seen, ["e", "a"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    count, least = _needed(cfg)
-    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("df", "e"))).where(F.col("place") <= count).where("df > 1")
-    pairs = asked.select("e", "a", "na").join(hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb")), "e").where(F.col("nb") > F.lit(cfg.max_ratio) * F.col("na"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least)
-    out = shelf.keep(pairs.select("a", "b", "na", "nb"))
-    shelf.drop(probes, hits)
-    return out
+def _bitmaps(elems: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bitmap of each set's shingles: of 64 bits at least, else of two to four bits a shingle, a power of two of them."""
+    size = np.maximum(64, 4 << np.floor(np.log2(n)).astype(np.int64))  # bits
+    first = np.concatenate([[0], np.cumsum(size)])
+    bits = np.zeros(first[-1], bool)
+    bits[np.repeat(first[:-1], n) + (elems & (np.repeat(size, n) - 1).astype(K.U64)).astype(np.int64)] = True
+    return _pieces(np.packbits(bits, bitorder="little"), size // 8)
 
 
 def _sets(cfg: Ensemble):
-    seeds, tables = K.hash_seeds(cfg.hashes, cfg.seed), cfg.tables()
+    seeds, tables = K.hash_seeds(max(b * r for r, b in cfg.tables().items()), cfg.seed), cfg.tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ks, lens = batch.column(0), batch.column(1), batch.column(3)
-            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(2)), cfg.shingle):
-                sig, pick = K.minhash(elems, at, seeds), pa.array(docs)
+            for docs, elems, at, n, h, alt in _shingled(K.text_array(batch.column(2)), cfg):
+                pick = pa.array(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(n.astype(np.int32)), _binary(_band_keys(sig, tables)), _binary((sig[:, :SKETCH] >> 8).astype(np.uint8)), _least(elems, at, n)],
-                    names=["id", "k", "len", "h", "n", "keys", "sketch", "probes"],
+                    [ids.take(pick), ks.take(pick), lens.take(pick), pa.array(h), pa.array(alt), pa.array(n.astype(np.int32)), _binary(_band_keys(K.minhash(elems, at, seeds), tables)), _bitmaps(elems, at, n), _least(elems, at, n)],
+                    names=["id", "k", "len", "h", "alt", "n", "keys", "bits", "probes"],
                 )
 
     return run
 
 
-def _elements(cfg: Ensemble):
-    """(h, sorted shingles as 32-bit integers) of texts."""
+def _clashes(wide: DataFrame) -> Clashes:
+    """The hashes that several of the sets share; as a rule there are none."""
+    found = wide.groupBy("h").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select("h", "lo").limit(CLASHES + 1).collect()  # CLASHES rows at most
+    if len(found) > CLASHES:
+        raise RuntimeError(f"more than {CLASHES} hashes of sets clash")
+    h, lo = np.array([r.h for r in found], np.int64), np.array([r.lo for r in found], np.int64)
+    order = np.argsort(h)
+    return (h[order], lo[order]) if found else NO_CLASH
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs, elems, at, n, h in _shingled(K.text_array(batch.column(0)), cfg.shingle):
-                small = (elems >> K.U64(8)).astype(np.uint32)
-                ends = pa.py_buffer((np.append(at, len(elems)) * 4).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.Array.from_buffers(pa.binary(), len(docs), [None, ends, pa.py_buffer(small.tobytes())])], names=["h", "elems"])
 
-    return run
+def _told_apart(wide: DataFrame, clashes: Clashes) -> DataFrame:
+    """wide with hashes as _shingled gives them once the clashes are known, without alt."""
+    if not len(clashes[0]):
+        return wide.drop("alt")
+    table = wide.sparkSession.createDataFrame(list(zip(clashes[0].tolist(), clashes[1].tolist())), "h bigint, lo bigint")
+    joined = wide.join(F.broadcast(table), "h", "left")  # CLASHES rows at most
+    return joined.withColumn("h", F.when(F.col("lo") != F.col("alt"), F.col("alt")).otherwise(F.col("h"))).select(*[c for c in wide.columns if c != "alt"])
 
 
 def _buckets(cfg: Ensemble):
-    """A row (key, h, tag) for each band of a set; tag packs the set's size, the band and the banding's rows."""
+    """A row (key, h, tag) for each band of a set; tag packs the set's size, the band and the banding's rows. Copies within a batch count once."""
     tables = cfg.tables()
     tags = np.concatenate([(np.arange(b, dtype=np.int64) << 4) | r for r, b in tables.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-                h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                once = _once(batch.column(0).to_numpy(zero_copy_only=False))
+                keys = np.frombuffer(b"".join(batch.column(2).take(pa.array(once)).to_pylist()), np.int64)
+                h, n = (batch.column(i).to_numpy(zero_copy_only=False)[once] for i in (0, 1))
                 tag = (n.astype(np.int64) << 20)[:, None] | tags
                 for a in range(0, len(h), 1000):  # a bounded number of rows at a time
                     b = min(len(h), a + 1000)
@@ -241,139 +219,279 @@ def _buckets(cfg: Ensemble):
     return run
 
 
-def _alike(least: float):
-    """Pairs whose sketches agree in at least the share least."""
+def _class(cfg: Ensemble, n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(cfg.step)) + F.lit(1e-9)).cast("int")
+
+
+def _bucketed(shelf: Shelf, wide: DataFrame, cfg: Ensemble) -> DataFrame:
+    """(key, h, n, band, r, step, m, hub) of the sets in buckets of several: m sets, of whose size class the hub is the least."""
+    # One shuffle brings each bucket together; buckets of one set are dropped at once.
+    index = wide.select("h", "n", "keys").mapInArrow(_buckets(cfg), "key bigint, h bigint, tag bigint").repartition("key").dropDuplicates()
+    index = index.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+    index = index.select("key", "h", F.shiftright("tag", 20).cast("int").alias("n"), F.shiftright("tag", 4).bitwiseAND(0xFFFF).cast("int").alias("band"), F.col("tag").bitwiseAND(15).cast("int").alias("r"), "m").withColumn("step", _class(cfg, F.col("n")))
+    return shelf.keep(index.withColumn("hub", F.when(F.col("m") > HUB, F.min(F.struct("n", "h")).over(Window.partitionBy("key", "step")))))
+
+
+def _used(cfg: Ensemble, apart: Column, r: Column, band: Column) -> Column:
+    """Whether a band belongs to the banding of classes that are so many steps apart."""
+    out = F.lit(False)
+    for d, (b, rows) in enumerate(cfg.bandings):
+        out = out | ((apart == d) & (r == rows) & (band < b))
+    return out
+
+
+def _bounded(threshold: float):
+    """Pairs whose bitmaps allow the overlap: a bit of the smaller set that the larger hasn't is a shingle that it hasn't. None at the threshold is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            sizes = np.array([(len(x), len(y)) for x, y in zip(left, right)])
+            missing = np.zeros(batch.num_rows, np.int64)
+            for m, k in np.unique(sizes, axis=0):
+                rows = np.flatnonzero((sizes == (m, k)).all(1))
+                x = np.frombuffer(b"".join(left[i] for i in rows), np.uint8).reshape(-1, m)
+                y = np.frombuffer(b"".join(right[i] for i in rows), np.uint8)
+                y = np.bitwise_or.reduce(y.reshape(-1, k // m, m), axis=1) if k >= m else np.tile(y.reshape(-1, k), m // k)
+                missing[rows] = np.bitwise_count(x & ~y).sum(1)
+            n = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array(n - missing >= threshold * n - 1e-9))
+
+    return run
+
+
+def _elements(cfg: Ensemble, clashes: Clashes):
+    """(h, sorted shingles of ELEMENT bytes) of texts; copies within a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array((x == y).mean(1) >= least))
+            seen: set[int] = set()
+            for docs, elems, at, n, h, _ in _shingled(K.text_array(batch.column(0)), cfg, clashes):
+                raw = _packed(elems)
+                for i in _once(h):
+                    if h[i] not in seen:
+                        seen.add(h[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 1]), pa.array([raw[at[i] : at[i] + n[i]].tobytes()], pa.binary())], names=["h", "elems"])
 
     return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
         both = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            x, y = _unpacked(x), _unpacked(y)
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both.append(int((y[at] == x).sum()))
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
 
 
-def _class(cfg: Ensemble, n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(cfg.step)) + F.lit(1e-9)).cast("int")
+class _Run:
+    """What the steps of one search share: the texts, their sets, and the tables kept."""
+
+    def __init__(self, shelf: Shelf, rows: DataFrame, sets: DataFrame, one: DataFrame, clashes: Clashes, cfg: Ensemble):
+        self.shelf, self.rows, self.sets, self.one, self.clashes, self.cfg = shelf, rows, sets, one, clashes, cfg
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        """exact, once the pairs that the bitmaps rule out are gone."""
+        bits = self.one.select("h", "bits")
+        pairs = pairs.join(bits.select(F.col("h").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("h").alias("b"), F.col("bits").alias("bb")), "b")
+        return self.exact(self.shelf.keep(pairs.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded(self.cfg.threshold), "a bigint, b bigint, na int, nb int")))
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """Of the kept candidates (a, b, na, nb) those whose sets reach the threshold of the smaller, with their common shingles: (a, b, na, nb, both). pairs is dropped.
+
+        The sets are made anew from their texts, so that they needn't be kept for all documents. Shingles are compared
+        by hashes of 8 * ELEMENT bits, so two sets of n and m have n * m / 2**40 more in common by chance.
+        """
+        shelf = self.shelf
+        needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        texts = shelf.keep(self.sets.join(needed, "h", "left_semi").groupBy("h").agg(F.min("k").alias("k")).select("k").distinct())
+        elems = key_join(self.rows.select("t", "k"), texts, ["k"], "left_semi").select("t").mapInArrow(_elements(self.cfg, self.clashes), "h bigint, elems binary")
+        elems = shelf.keep(elems.groupBy("h").agg(F.first("elems").alias("elems")), "none")
+        joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
+        both = joined.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, both int")
+        out = shelf.keep(both.where(F.col("both") >= F.lit(self.cfg.threshold) * F.least("na", "nb") - F.lit(1e-9)))
+        shelf.drop(elems, texts, pairs)
+        return out
 
+    def alike(self, index: DataFrame) -> DataFrame:
+        """Links of sets of up to max_ratio times the size, from the buckets they share; index is dropped. Not all links within one group of near copies are in it."""
+        shelf, cfg = self.shelf, self.cfg
+        fits = lambda a, b: F.col(b) <= F.lit(cfg.max_ratio + 1e-9) * F.col(a)
+        # First only each large bucket's hubs are linked with their classes: that ties groups of many copies together in linear time.
+        star = index.where("hub is not null and h <> hub.h").where(_used(cfg, F.lit(0), F.col("r"), F.col("band")))
+        star = star.select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+        first = self.checked(star)
+        label = components(shelf, self.near(first))
+        labelled = index.select("key", "h", "n", "band", "r", "step", "m").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+        # Then all pairs of a bucket that aren't in one component yet: sets beside its most frequent component, with all others.
+        labelled = labelled.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+        labelled = labelled.withColumn("major", F.max(F.struct("own", "label")).over(Window.partitionBy("key"))).where("major.own < m")
+        labelled = shelf.keep(labelled.select("key", "h", "n", "band", "r", "step", "label", (F.col("label") != F.col("major.label")).alias("minor")))
+        shelf.drop(index)
+        x, y = labelled.where("minor").alias("x"), labelled.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _used(cfg, F.abs(F.col("x.step") - F.col("y.step")), F.col("x.r"), F.col("x.band")))
+        ends = [F.struct(F.col(f"{s}.n").alias("n"), F.col(f"{s}.h").alias("h")) for s in "xy"]
+        pairs = pairs.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).where(fits("p.n", "q.n"))
+        rest = self.checked(pairs.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct())
+        shelf.drop(labelled)
+        return first.union(rest)
+
+    def near(self, links: DataFrame) -> DataFrame:
+        return links.where(F.col("both") >= F.lit(self.cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9))
+
+    def excerpts(self, silent: DataFrame) -> DataFrame:
+        """Links (a, b, na, nb, both) of sets beyond max_ratio: a, which isn't in silent(h), is held by b.
+
+        All texts are read once more. A filter of all probes, of bounded size and broadcast, drops most shingles before
+        the shuffle; only then are shingles matched exactly.
+        """
+        shelf, cfg = self.shelf, self.cfg
+        spark = shelf.spark
+        probes = shelf.keep(key_join(self.one.select("h", "n", "probes"), silent, ["h"], "left_anti").mapInArrow(_exploded, "e bigint, a bigint, na int"))
+        bits = min(max(FILTER_LEAST, math.ceil(math.log2(FILTER_BITS * max(1, probes.count())))), FILTER_MOST)
+        slot = F.explode(F.array(F.col("e"), F.shiftright("e", 11))).alias("s")
+        slots = probes.select(slot).select(F.col("s").bitwiseAND((1 << bits) - 1).alias("s"))
+        parts = slots.groupBy(F.expr("s div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("bitmap"))
+        table = bytearray(1 << bits - 3)
+        for r in parts.toLocalIterator():  # 4 KB each, 64 MB in all at most
+            table[r.part * 4096 : r.part * 4096 + len(r.bitmap)] = r.bitmap
+        words = spark.sparkContext.broadcast(bytes(table))
+        hits = shelf.keep(self.rows.select("t").mapInArrow(_hits(cfg, self.clashes, bits, words), "e bigint, h bigint, n int"))
+        words.unpersist()
+        # Probes in one set alone, their own, are the rarest.
+        seen = hits.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        asked = probes.join(seen, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+        count, least = _needed(cfg)
+        asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("df", "e"))).where(F.col("place") <= count).where("df > 1")
+        asked = asked.select("e", "a", "na", least.alias("least"))
+        enough = asked.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("need")).where("n >= need").select("a")
+        asked = shelf.keep(asked.join(enough, "a", "left_semi"))
+        few = F.broadcast(asked) if asked.count() <= FEW_ASKED else asked.hint("merge")
+        pairs = hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb")).join(few, "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
+        pairs = pairs.distinct().groupBy("a", "b", "na", "nb", "least").agg(F.count(F.lit(1)).alias("met"))  # a copy in another task hits again
+        pairs = shelf.keep(pairs.where("met >= least").select("a", "b", "na", "nb"))
+        shelf.drop(probes, hits, asked)
+        return self.exact(pairs)
 
-def _checked(shelf: Shelf, rows: DataFrame, sets: DataFrame, one: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
-    """Of the candidates (a, b, na, nb) those whose sets reach the threshold of the smaller: (a, b, na, nb, both).
 
-    Sketches sort out chance pairs first: 0.15 below the least Jaccard similarity is over 2.5 standard errors away.
+def _needed(cfg: Ensemble) -> tuple[Column, Column]:
+    """(probes, hits): a set of n shingles that is held at the threshold has so many of its rarest probes in the holder.
+
+    Exact where all n shingles are probes: no more than n less the least overlap can be missing. Of a larger set's PROBES
+    a share of 1 - threshold is missing on average, and at the threshold more than are allowed for with a chance below 1 %.
     """
-    sketch = one.select("h", "sketch")
-    pairs = pairs.join(sketch.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")
-    least = cfg.jaccard(len(cfg.bandings) - 1) - 0.15
-    return _exact(shelf, rows, sets, shelf.keep(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(least), "a bigint, b bigint, na int, nb int")), cfg)
+    need = F.ceil(F.lit(cfg.threshold) * F.col("na") - F.lit(1e-9))
+    few = F.col("na") <= PROBES
+    most = next(x for x in range(PROBES) if _tail(PROBES, 1 - cfg.threshold, x + 1) <= 0.01)
+    return F.when(few, F.col("na") - need + 1).otherwise(min(PROBES, most + 2)).cast("int"), F.when(few, 1).otherwise(2 if most + 2 <= PROBES else 1)
 
 
-def _exact(shelf: Shelf, rows: DataFrame, sets: DataFrame, pairs: DataFrame, cfg: Ensemble) -> DataFrame:
-    """_checked without the sketches; pairs is a kept table, which is dropped.
+def _tail(n: int, p: float, k: int) -> float:
+    """The chance of k or more of n."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
 
-    The sets are made anew from their texts, so that sets needn't be kept for all documents.
-    """
-    needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    texts = shelf.keep(sets.join(needed, "h", "left_semi").groupBy("h").agg(F.min("k").alias("k")).select("k").distinct())
-    elems = key_join(rows.select("t", "k"), texts, ["k"], "left_semi").dropDuplicates(["k"]).select("t").mapInArrow(_elements(cfg), "h bigint, elems binary")
-    elems = shelf.keep(elems.dropDuplicates(["h"]), "none")
-    joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
-    both = joined.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, both int")
-    out = shelf.keep(both.where(F.col("both") >= F.lit(cfg.threshold) * F.least("na", "nb")))
-    shelf.drop(elems, pairs)
-    return out
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(e, a, na) for each probe of sets."""
+    for batch in batches:
+        probes = batch.column(2).to_pylist()
+        size = np.fromiter((len(x) // ELEMENT for x in probes), np.int64, len(probes))
+        h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b"".join(probes)).view(np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size))], names=["e", "a", "na"])
+
+
+def _hits(cfg: Ensemble, clashes: Clashes, bits: int, words):
+    """(e, h, n) for each shingle of texts that the filter lets pass; copies within a run of texts count once."""
+    mask = K.U64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(words.value, np.uint8)
+        for batch in batches:
+            for docs, elems, at, n, h, _ in _shingled(K.text_array(batch.column(0)), cfg, clashes):
+                alone = np.zeros(len(h), bool)
+                alone[_once(h)] = True
+                ok = np.repeat(alone, n)
+                for slot in (elems & mask, (elems >> K.U64(11)) & mask):
+                    ok &= (table[slot >> K.U64(3)] >> (slot & K.U64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                owner = np.repeat(np.arange(len(at)), n)[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(elems[ok].astype(np.int64)), pa.array(h[owner]), pa.array(n[owner].astype(np.int32))], names=["e", "h", "n"])
+
+    return run
+
+
+def _place(who: str) -> Column:
+    """The order of documents: numbers before other identifiers, nulls last, then k and len."""
+    c = lambda x: F.col(f"{who}{x}")
+    num = c("id").try_cast("decimal(38,0)")
+    return F.struct(c("id").isNull().alias("none"), num.isNull().alias("word"), num.alias("num"), c("id").alias("id"), c("k").alias("k"), c("len").alias("len"))
 
 
 def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document that is in a group, one of which stays: (id, k, len, keep_id, keep_k, keep_len, copies, stays).
 
     k and len are xxhash64 and bytes of the text, so that rows of one identifier with other texts are told apart.
-    Two documents are near copies if their common shingles are at least the threshold of the larger set; groups are the
-    connected components of near copies. A group one of whose members is held by a larger document of another group
-    with a larger largest member joins that group, at its best such member; it doesn't join the two in any other way.
-    Of a group the smallest identifier of the root component stays (nulls last, then k). copies: rows of this very id and text.
+    Two documents are near copies if their common shingles are at least the threshold of the larger set; the connected
+    components of near copies are crowds, and of a crowd the document of the smallest identifier stays (nulls last, then
+    k). If that document's set is held by a larger one of another crowd, its crowd joins that one: at the best share, then
+    the largest holder, then the smallest identifier that stays. Of crowds joined so, the one that joins none says who
+    stays; where they join in a ring, the one whose document has the largest set, then the smallest identifier. Crowds
+    that hold one excerpt aren't joined by it. copies: rows of this very id and text.
 
     Null and empty texts, and texts without a word, have no shingles and are in no group. A text of fewer words than a
-    shingle is one shingle. Repeated rows and equal sets are near copies of each other. An empty table gives no rows.
+    shingle is one shingle. Repeated rows and equal sets are near copies of each other. Texts of any length are compared
+    whole. Other columns are dropped, whatever their names. An empty table gives no rows.
     """
     shelf = Shelf(docs.sparkSession)
     t = col(docs, text).cast("string")
     rows = docs.select(col(docs, id).cast("string").alias("id"), F.xxhash64(t).alias("k"), t.alias("t"), F.octet_length(t).alias("len")).where("t is not null and t <> ''")
-    sets = shelf.keep(rows.mapInArrow(_sets(cfg), SETS))
-
-    one = shelf.keep(sets.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), *([F.first("probes").alias("probes")] if cfg.excerpts else [])))
-    # One shuffle brings each bucket together; buckets of one set are dropped at once.
-    members = Window.partitionBy("key")
-    index = one.select("h", "n", "keys").mapInArrow(_buckets(cfg), "key bigint, h bigint, tag bigint")
-    size = F.shiftright("tag", 20).cast("int")
-    index = index.withColumns({"m": F.count(F.lit(1)).over(members), "hub": F.min(F.struct(size.alias("n"), "h")).over(members)}).where("m > 1")
-    index = shelf.keep(index.select("key", "h", size.alias("n"), F.shiftright("tag", 4).bitwiseAND(0xFFFF).cast("int").alias("band"), F.col("tag").bitwiseAND(15).cast("int").alias("r"), "m", "hub"))
-    # First only each large bucket's least set is linked with the others: that ties groups of many copies together in linear time.
-    star = index.where(F.col("m") > HUB).where(F.col("h") != F.col("hub.h")).select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    star = star.where(F.col("nb") <= F.lit(cfg.max_ratio) * F.col("na")).distinct()
-    first = _checked(shelf, rows, sets, one, star, cfg)
-    near = lambda pairs: pairs.where(F.col("both") >= F.lit(cfg.threshold) * F.greatest("na", "nb"))
-    label = components(shelf, near(first))
-
-    # Then all pairs of a bucket that aren't in one component yet.
-    labelled = index.select("key", "h", "n", "band", "r").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).withColumn("step", _class(cfg, F.col("n")))
-    labelled = shelf.keep(labelled)
-    shelf.drop(index)
-    x, y = labelled.alias("x"), labelled.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.h") < F.col("y.h")))
-    used = F.lit(False)
-    for d, (b, r) in enumerate(cfg.bandings):
-        used = used | ((F.col("y.step") - F.col("x.step") == d) & (F.col("x.r") == r) & (F.col("x.band") < b))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & smaller & (F.col("y.n") <= F.lit(cfg.max_ratio) * F.col("x.n")) & used)
-    pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    rest = _checked(shelf, rows, sets, one, pairs, cfg)
-    found = first.union(rest)
-    if cfg.excerpts:
-        found = found.union(_exact(shelf, rows, sets, _excerpts(shelf, rows, one, cfg), cfg))
-    shelf.drop(labelled, one)
-
-    label = shelf.keep(components(shelf, near(found)))
-    known = sets.select("h", "n", "id", "k", "len").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    held = found.where(F.col("both") < F.lit(cfg.threshold) * F.greatest("na", "nb"))
-    # A component joins the one that holds a member of it best.
-    ends = held.select("a", "b", "both", "na").join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    ends = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.col("both") / F.col("na")).alias("share")).where("la <> lb")
-    largest = known.groupBy("label").agg(F.max(F.struct("n", "label")).alias("top"))
-    ends = ends.join(largest.select(F.col("label").alias("la"), F.col("top").alias("ta")), "la").join(largest.select(F.col("label").alias("lb"), F.col("top").alias("tb")), "lb").where("tb.n > ta.n")
-    up = ends.groupBy("la").agg(F.max_by("lb", F.struct("share", -F.col("lb"))).alias("lb"))
-    tree = components(shelf, up.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    grouped = known.join(tree.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
-    top = largest.join(tree.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label")).groupBy("root").agg(F.max("top").alias("top")).select("root", F.col("top.label").alias("head"))
-
-    docs_of = shelf.keep(grouped.groupBy("root", "label", "id", "k", "len").agg(F.count(F.lit(1)).alias("copies")))
-    # Identifiers are compared as numbers where they are numbers.
-    place = F.struct(F.col("id").isNull(), F.col("id").try_cast("decimal(38,0)").isNull(), F.col("id").try_cast("decimal(38,0)").alias("num"), F.col("id"), F.col("k"), F.col("len"))
-    crowd = docs_of.groupBy("root").agg(F.sum("copies").alias("rows")).where("rows > 1").join(top, "root")
-    best = docs_of.join(top, "root").where("label = head").groupBy("root").agg(F.min_by(F.struct("id", "k", "len"), place).alias("keep"))
-    out = docs_of.join(crowd.select("root"), "root").join(best, "root")
+    raw = shelf.keep(rows.mapInArrow(_sets(cfg), WIDE))
+    clashes = _clashes(raw)
+    wide = _told_apart(raw, clashes)
+    index = _bucketed(shelf, wide, cfg)
+    sets = shelf.keep(wide.select("id", "k", "len", "h", "n"))
+    one = shelf.keep(wide.groupBy("h", "n").agg(F.first("bits").alias("bits"), F.first("probes").alias("probes")))
+    shelf.drop(raw)
+    run = _Run(shelf, rows, sets, one, clashes, cfg)
+
+    links = run.alike(index)
+    label = shelf.keep(components(shelf, run.near(links)))
+    known = shelf.keep(sets.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")))
+    chief = shelf.keep(known.groupBy("label").agg(F.min_by(F.struct("id", "k", "len", "h", "n"), _place("")).alias("c")).select("label", "c.*"))
+    # Of a crowd of several sets only the one of the document that would stay asks for holders.
+    silent = shelf.keep(label.join(chief.select("label", F.col("h").alias("asks")), "label").where("node <> asks").select(F.col("node").alias("h")))
+    held = links.where(F.col("both") < F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)).join(silent.withColumnRenamed("h", "a"), "a", "left_anti").union(run.excerpts(silent))
+    shelf.drop(one)
+
+    ends = held.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), (F.col("both") / F.col("na")).alias("share"), "nb").where("la <> lb")
+    ends = ends.join(chief.select(F.col("label").alias("lb"), _place("").alias("pb")), "lb")
+    # Best first is least here.
+    up = shelf.keep(ends.groupBy("la").agg(F.min_by("lb", F.struct(-F.col("share"), -F.col("nb"), F.col("pb"))).alias("lb")))
+    tree = shelf.keep(components(shelf, up.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("root")))
+    heads = tree.join(up.select(F.col("la").alias("label"), F.lit(True).alias("goes")), "label", "left").join(chief, "label")
+    head = heads.groupBy("root").agg(F.min_by(F.struct("id", "k", "len"), F.struct(F.coalesce("goes", F.lit(False)), F.when(F.col("goes"), -F.col("n")), _place(""))).alias("keep"))
+    keeps = tree.join(head, "root").select("label", "root", "keep")
+
+    docs_of = known.groupBy("label", "id", "k", "len").agg(F.count(F.lit(1)).alias("copies"))
+    crowd = known.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("label").union(keeps.select("label")).distinct()
+    out = docs_of.join(crowd, "label", "left_semi").join(chief.select("label", F.struct("id", "k", "len").alias("own")), "label").join(keeps.select("label", "keep"), "label", "left").withColumn("keep", F.coalesce("keep", "own"))
+    kind = docs.schema[id].dataType
     return out.select(
-        F.col("id").cast(docs.schema[id].dataType).alias("id"), "k", "len",
-        F.col("keep.id").cast(docs.schema[id].dataType).alias("keep_id"), F.col("keep.k").alias("keep_k"), F.col("keep.len").alias("keep_len"), "copies",
+        F.col("id").cast(kind).alias("id"), "k", "len", F.col("keep.id").cast(kind).alias("keep_id"), F.col("keep.k").alias("keep_k"), F.col("keep.len").alias("keep_len"), "copies",
         (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("k") == F.col("keep.k")) & (F.col("len") == F.col("keep.len"))).alias("stays"),
     )
 
 
 def drop_near_copies(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near_groups, all columns kept; documents in no group stay.
+    """docs with one document of each group of near_groups, all columns kept under their names; documents in no group stay.
 
-    Of repeated rows of the document that stays, one stays. Null identifiers are compared as equal. An empty table stays empty.
+    Of repeated rows of the document that stays, one stays. Null identifiers are compared as equal. Null and empty texts
+    stay. An empty table stays empty.
     """
     shelf = Shelf(docs.sparkSession)
     groups = shelf.keep(near_groups(docs, cfg, id, text))

@@ -11,6 +11,8 @@ __all__ = ["BROADCAST_KEYS", "Shelf", "col", "components", "fresh", "key_join",
 
 #: Keys up to this number (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
+#: Edges up to this number (16 bytes each) are joined to components on the driver, more by rounds of joins; the result is the same.
+DRIVER_EDGES = 100_000
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -36,27 +38,46 @@ def key_join(big: DataFrame, keys: DataFrame, on: list[str], how: str, n: int |
     return big.join(F.broadcast(keys) if n * len(on) <= BROADCAST_KEYS else keys.hint("merge"), on, how)
 
 
+def _joined(shelf: Shelf, edges: DataFrame) -> DataFrame:
+    """components of a few edges, on the driver."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges.collect():  # DRIVER_EDGES rows at most
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return shelf.keep(shelf.spark.createDataFrame([(x, root(x)) for x in up], "node bigint, label bigint"))
+
+
 def components(shelf: Shelf, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of each node of edges(a, b): label is the least node of its connected component.
 
-    Alternating large-star and small-star rounds; every round is a table in the shared folder. No edges: no rows.
-    A component of diameter d needs about log d rounds; not converging within max_rounds raises.
+    Alternating large-star and small-star rounds; every round is a table in the shared folder. A node's neighbours are
+    never gathered: each round takes their least and joins it back to them. No edges: no rows. A component of diameter d
+    needs about log d rounds; not converging within max_rounds raises.
     """
     cur = shelf.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    if cur.count() <= DRIVER_EDGES:
+        return _joined(shelf, cur)
     state = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.collect_set("v").alias("vs"))
-        large = least.select(F.explode("vs").alias("v"), "m", "u").where("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        nxt = small.select(F.explode(F.concat("vs", F.array("u"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
+        large = shelf.keep(large)
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        nxt = large.join(small, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select("u", "m")).distinct()
         nxt = shelf.keep(nxt)
         now = tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        shelf.drop(cur)
+        shelf.drop(cur, large)
         cur = nxt
         if now == state:
             roots = cur.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
             return cur.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
         state = now
     raise RuntimeError("components did not converge")
-
