@@ -1,5 +1,6 @@
 import json
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from trovex import cli
 from trovex.engine import Engine
 from trovex.operators import filters
-from trovex.operators.extract import declarations
+from trovex.operators.extract import declarations, parsed
 from trovex.schema import Options
 from trovex.sources import folder, remote
 from trovex.sources.store import Store
@@ -85,6 +86,7 @@ def test_remote(engine):
     meta = engine.index_repo("own/repo")
     assert meta["file_count"] == 3 and not meta["is_local"] and engine.repos() == ["own/repo"]
     assert engine.search_symbols("own/repo", "summarize").first().name == "summarize"
+    assert {r.path: r.content for r in remote.scan_repository(engine.spark, "own/repo", engine.client).collect()} == {p: FILES[p] for p in ("models/user.py", "services/order.cs", "scripts/tool.py")}
     with pytest.raises(FileNotFoundError):
         engine.index_repo("no/repo")
     with pytest.raises(LookupError):
@@ -199,14 +201,56 @@ def test_backend_can_replace_patterns():
 def test_watcher_refreshes_once_per_burst(spark, repo, tmp_path):
     seen = []
     w = FolderWatcher(spark, str(repo), seen.append, str(tmp_path / "state"))
-    w.start(once=True).awaitTermination()
-    assert len(seen) == 1
-    w.start(once=True).awaitTermination()
-    assert len(seen) == 1
+    assert w.poll(1, 0.0)["added"] == 7 and seen == []  # what is in bin isn't listed
+    assert w.poll(2, 3.0) == {} and seen == [2] and w.poll(3, 9.0) == {} and seen == [2]
     (repo / "new.py").write_text("def x(): pass\n")
-    w.start(once=True).awaitTermination()
-    assert len(seen) == 2
+    assert w.poll(4, 10.0) == {"added": 1}
+    (repo / "new.py").write_text("def x(): return 1\n")
+    assert w.poll(5, 11.0) == {"modified": 1} and w.poll(6, 12.5) == {} and seen == [2]  # not quiet for long enough
+    assert w.poll(7, 13.0) == {} and seen == [2, 7]
+    (repo / "new.py").rename(repo / "models" / "newer.py")
+    (repo / "readme.txt").unlink()
+    assert w.poll(8, 20.0) == {"added": 1, "deleted": 2}
     w.stop()
+    again = FolderWatcher(spark, str(repo), seen.append, str(tmp_path / "state"))  # it knows the listing of the last refresh
+    assert again.poll(9, 0.0) == {"added": 1, "deleted": 2} and again.poll(10, 2.0) == {} and seen == [2, 7, 10]
+
+
+def test_watcher_as_a_stream(spark, repo, tmp_path):
+    seen = []
+    w = FolderWatcher(spark, str(repo), seen.append, str(tmp_path / "state"), quiet=0.2)
+    assert w.start() is w.start()
+    until = time.time() + 60
+    while not seen and time.time() < until:
+        time.sleep(0.2)
+    w.stop()
+    assert len(seen) == 1 and not w.query.isActive
+
+
+def test_names_that_spark_hides(spark, repo):
+    for p in ("pkg/__init__.py", "_priv/x.py", ".hidden/y.py", "a b/z 1.py", "node_modules/n.py"):
+        (repo / p).parent.mkdir(parents=True, exist_ok=True)
+        (repo / p).write_text(f"# {p} \u00e9\ndef f(): pass\n")
+    (repo / ".gitignore").write_text("scripts/\n")
+    got = {r.path: r.content for r in folder.scan_folder(spark, str(repo)).collect()}
+    assert set(got) == {"models/user.py", "services/order.cs", "pkg/__init__.py", "_priv/x.py", ".hidden/y.py", "a b/z 1.py"}
+    assert got["a b/z 1.py"] == "# a b/z 1.py \u00e9\ndef f(): pass\n"
+
+
+def test_parts_can_be_replaced(spark, repo, tmp_path):
+    only = lambda path, size, most, rules: path.startswith("readme")
+    e = Engine(spark, Options(index_path=str(tmp_path / "i")), security=only, extensions={"txt": "python"}, backend=lambda s, lang: [("Function", "word", 0, len(s))])
+    assert e.index_folder(str(repo))["file_count"] == 1 and e.search_symbols("shop", "word").first().language == "python"
+
+
+def test_python_is_parsed():
+    text = 'X = "é"\n\n\nclass A(B):\n    """Says what.\n\n    More."""\n\n    x = 1\n\n    async def m(self):\n        def inner(): pass\n\n\n# Adds one.\ndef f(x):\n\n    return x\n'
+    got = [(d["kind"], d["qualified_name"], d["start_line"], d["end_line"], d["summary"]) for d in declarations(text, "python", "p.py", parsed)]
+    assert got == [("Class", "A", 4, 12, "Says what."), ("Method", "A.m", 11, 12, ""), ("Method", "A.inner", 12, 12, ""), ("Function", "f", 16, 18, "Adds one.")]
+    f = list(declarations(text, "python", "p.py", parsed))[-1]
+    assert text.encode()[f["byte_start"] : f["byte_end"]].decode() == "def f(x):\n\n    return x" and f["signature"] == "def f(x):"
+    assert [d["name"] for d in declarations("def ok(:\n", "python", "p")] == ["ok"] == [d["name"] for d in declarations("def ok(:\n", "python", "p", parsed)]
+    assert [d["summary"] for d in declarations("/**\n * Goes.\n * Far.\n */\npublic class Go\n{\n}\n", "csharp", "g.cs")] == ["Goes."]
 
 
 def test_sessions_fire_after_quiet(spark):

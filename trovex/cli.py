@@ -59,14 +59,14 @@ _FIELDS = {
 }
 
 
-def show(rows: DataFrame, fields: list[str], as_json: bool, most: int | None = None) -> None:
+def show(rows: DataFrame, fields: list[str], as_json: bool, most: int | None = None, numbered: bool = False) -> None:
     rows = rows.select(*fields)
     if as_json:
         for line in rows.toJSON().toLocalIterator():
             print(line)
         return
-    for r in (rows.limit(most) if most else rows).toLocalIterator():
-        print("\t".join("" if v is None else (s[:59] + "…" if len(s := str(v)) > 60 else s) for v in r))
+    for n, r in enumerate((rows.limit(most) if most else rows).toLocalIterator(), 1):
+        print((f"{n}\t" if numbered else "") + "\t".join("" if v is None else (s[:59] + "…" if len(s := str(v)) > 60 else s) for v in r))
 
 
 def run(engine: Engine, a: argparse.Namespace) -> int:
@@ -105,9 +105,12 @@ def run(engine: Engine, a: argparse.Namespace) -> int:
     elif a.group == "outline":
         show(engine.repo_outline(a.repo) if name == "repo" else engine.file_outline(a.repo, a.path), _FIELDS[name], a.json)
     elif name == "importance":
-        show(engine.importance(a.repo, a.top), _FIELDS[name], a.json)
+        show(engine.importance(a.repo, a.top), _FIELDS[name], a.json, numbered=True)
     elif name == "dead-code":
-        show(engine.dead_code(a.repo), _FIELDS[name], a.json, a.top)
+        dead = engine.dead_code(a.repo)
+        show(dead, _FIELDS[name], a.json, a.top)
+        if not a.json:
+            print(f"{dead.count()} in all")
     elif name == "blast-radius":
         show(engine.blast_radius(a.repo, a.id, a.depth), _FIELDS[name], a.json)
     else:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovex.functions.lang import EXTENSIONS
 from trovex.operators import context, extract, filters, graph, incremental, outline, search
 from trovex.schema import Options, ddl
 from trovex.shelf import Shelf
@@ -17,23 +18,25 @@ from trovex.sources.store import Store
 
 class Engine:
     """summarize: a Column function of (signature, kind, qualified_name) that fills empty summaries. client: "module:Class" of a
-    remote.Client. store: any object with Store's methods. backend: extract.Backend in place of patterns. guess_edges: let
-    names in sources count as references where symbols have none."""
+    remote.Client. store: any object with Store's methods. backend: extract.Backend that finds declarations where it can.
+    security: folder.Security in place of should_index. extensions: the language of each file name's ending. guess_edges:
+    let names in sources count as references where symbols have none."""
 
-    def __init__(self, spark: SparkSession, options: Options | None = None, store: Store | None = None, client: str = "trovex.sources.remote:WebClient", summarize: Callable[[Column, Column, Column], Column] | None = None, backend: extract.Backend | None = None, guess_edges: bool = False):
+    def __init__(self, spark: SparkSession, options: Options | None = None, store: Store | None = None, client: str = "trovex.sources.remote:WebClient", summarize: Callable[[Column, Column, Column], Column] | None = None, backend: extract.Backend | None = extract.parsed, guess_edges: bool = False, security: folder.Security = filters.should_index, extensions: Mapping[str, str] = EXTENSIONS):
         self.spark, self.options = spark, options or Options()
         self.store = store or Store(spark, self.options.index_path)
         self.client, self.summarize, self.backend, self.guess_edges = client, summarize, backend, guess_edges
+        self.rules = {"security": security, "extensions": extensions}
 
     def index_folder(self, path: str, repo_key: str | None = None) -> dict:
         """Index a folder, or refresh its index: only files whose hash changed are parsed. The row of index_meta is returned."""
-        files = folder.scan_folder(self.spark, path, self.options, repo_key)
+        files = folder.scan_folder(self.spark, path, self.options, repo_key, **self.rules)
         key = repo_key or folder.qualified(self.spark, path).rsplit("/", 1)[-1]
         return self._index(key, files, path, True)
 
     def index_repo(self, repo: str) -> dict:
         """As index_folder, for owner/name at a remote host."""
-        return self._index(repo, remote.scan_repository(self.spark, repo, self.client, self.options), repo, False)
+        return self._index(repo, remote.scan_repository(self.spark, repo, self.client, self.options, **self.rules), repo, False)
 
     def reindex(self, key: str) -> dict:
         """Refresh from where the index came from."""
@@ -44,11 +47,8 @@ class Engine:
         began, shelf = time.time(), Shelf(self.spark)
         files = shelf.keep(extract.with_hash(files))
         old = self.store.load(key)
-        parse = lambda df: extract.extract_symbols(df, self.backend)
+        parse = lambda df: extract.extract_symbols(df, self.backend, self.summarize)
         symbols = parse(files) if old is None else incremental.refreshed(old["symbols"], old["files"], files, parse)
-        if self.summarize:
-            own = F.coalesce(self.summarize(F.col("signature"), F.col("kind"), F.col("qualified_name")), F.col("summary"))
-            symbols = symbols.withColumn("summary", F.when(F.col("summary") == F.col("signature"), own).otherwise(F.col("summary")))
         last = F.max_by(F.struct(*[c for c in symbols.columns if c != "id"]), F.struct("start_line", "byte_start"))
         symbols = shelf.keep(symbols.groupBy("id").agg(last.alias("s")).select("id", "s.*"))  # of repeated identifiers the last is kept
         sources = files.select("repo_key", F.col("path").alias("file_path"), "content")

@@ -28,7 +28,7 @@ def nearest_preceding(rows: DataFrame, by: str, order: list[Column], value: Colu
 
 
 def assign_parents(symbols: DataFrame) -> DataFrame:
-    """symbols where methods, properties and fields without a parent get the innermost class around them in their file as one, and the kind Method if they are functions."""
+    """symbols where methods, properties and fields without a parent get the innermost class around them in their file as one. Kinds stay as they are."""
     orphans = symbols.where(F.col("kind").isin("Method", "Property", "Field") & F.col("parent_id").isNull())
     classes = symbols.where("kind = 'Class'")
     keys = ["file_path", "id", "start_line", "end_line"]

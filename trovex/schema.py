@@ -36,7 +36,7 @@ def ddl(table: str) -> str:
 class Options:
     """index_path: where the index tables are. max_file_bytes: larger files are left out. max_files: of one repository, in the order of paths. fuzzy_threshold: least similarity of a fuzzy match, of 100."""
 
-    index_path: str = field(default_factory=lambda: os.path.expandvars(os.environ.get("CODE_INDEX_PATH", "")) or os.path.join(os.path.expanduser("~"), ".code-index"))
+    index_path: str = field(default_factory=lambda: os.path.expandvars(os.environ.get("TROVEX_INDEX", "")) or os.path.join(os.path.expanduser("~"), ".trovex"))
     max_file_bytes: int = 1_000_000
     max_files: int = 10_000
     fuzzy_threshold: int = 70

@@ -8,16 +8,18 @@ import os
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from trovex.functions.lang import language_of
+from trovex.functions.lang import EXTENSIONS, language_of
 from trovex.operators.filters import should_index
 from trovex.schema import Options
 from trovex.shelf import workers_find_us
+from trovex.sources.folder import Security
 
 
 class Client(Protocol):
@@ -76,11 +78,11 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.repo, self.name, self.batch = options["repo"], options.get("client", "trovex.sources.remote:WebClient"), int(options.get("batch", "100"))
+        self.files = json.loads(options["files"]) if "files" in options else None
         self.content = options.get("content", "true") == "true"
-        self.only = set(json.loads(options["only"])) if options.get("only") else None
 
     def partitions(self) -> list[_Part]:
-        files = [f for f in client_of(self.name).files(self.repo) if self.only is None or f[0] in self.only]
+        files = client_of(self.name).files(self.repo) if self.files is None else self.files
         return [_Part(files[i : i + self.batch]) for i in range(0, len(files), self.batch)] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
@@ -90,7 +92,7 @@ class _Reader(DataSourceReader):
 
 
 class RepositorySource(DataSource):
-    """format("trovex_repository") with options repo, client, batch (files per partition), content and only (JSON list of paths)."""
+    """format("trovex_repository") with options repo, client, batch (files per partition), content, and files: a JSON list of (path, bytes, hash) that saves asking for the tree."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,15 +105,13 @@ class RepositorySource(DataSource):
         return _Reader(dict(self.options))
 
 
-def scan_repository(spark: SparkSession, repo: str, client: str = "trovex.sources.remote:WebClient", options: Options = Options()) -> DataFrame:
-    """As scan_folder: the listing is filtered first, and only the contents of files to index are fetched."""
-    from pyspark.sql import functions as F
-
+def scan_repository(spark: SparkSession, repo: str, client: str = "trovex.sources.remote:WebClient", options: Options = Options(), security: Security = should_index, extensions: Mapping[str, str] = EXTENSIONS) -> DataFrame:
+    """As scan_folder: the tree is asked for once and filtered first, and only the contents of files to index are fetched."""
     workers_find_us(spark)
     spark.dataSource.register(RepositorySource)
     if not client_of(client).exists(repo):
         raise FileNotFoundError(repo)
-    read = spark.read.format("trovex_repository").option("repo", repo).option("client", client)
-    listed = read.option("content", "false").load().where(should_index(F.col("path"), F.col("size_bytes"), options.max_file_bytes)).where(language_of(F.col("path")).isNotNull())
-    paths = [r.path for r in listed.select("path").orderBy("path").limit(options.max_files).collect()]  # max_files at most
-    return read.option("only", json.dumps(paths)).load().withColumn("language", language_of(F.col("path"))).select("repo_key", "path", "language", "size_bytes", "sha", "content")
+    source = lambda: spark.read.format("trovex_repository").option("repo", repo).option("client", client)  # noqa: E731  # a reader keeps the options it was given
+    listed = source().option("content", "false").load().where(security(F.col("path"), F.col("size_bytes"), options.max_file_bytes, ())).where(language_of(F.col("path"), extensions).isNotNull())
+    files = [(r.path, r.size_bytes, r.sha) for r in listed.select("path", "size_bytes", "sha").orderBy("path").limit(options.max_files).collect()]  # max_files at most
+    return source().option("files", json.dumps(files)).load().withColumn("language", language_of(F.col("path"), extensions)).select("repo_key", "path", "language", "size_bytes", "sha", "content")

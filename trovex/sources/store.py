@@ -1,7 +1,8 @@
 """The index as Parquet tables below one folder, partitioned by repository; a version is complete before it is seen.
 
 Every save writes a new version folder and then moves one small pointer file over the old, so a reader sees the old
-index or the new one. Earlier versions but the last are removed.
+index or the new one. The version before the current one is kept, earlier ones are removed: who loads an index has to be
+done with it by the second save after.
 """
 
 from __future__ import annotations
