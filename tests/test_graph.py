@@ -44,9 +44,9 @@ def test_whole_pagerank_takes_all_edges_to_the_tolerance(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(i,) for i in range(1, 11)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
     want = brute(list(range(1, 11)), [e for ps in orders for e in zip(ps, ps[1:])])
-    got = {r.id: r["rank"] for r in catalogue.pagerank_whole(spark, str(tmp_path)).collect()}
+    got = {r.id: r["rank"] for r in catalogue.pagerank(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    best = catalogue.importance_whole(spark, str(tmp_path)).collect()
+    best = catalogue.importance_topk(spark, str(tmp_path)).collect()
     assert [r.id for r in best] == sorted(want, key=lambda k: (-round(want[k], 9), k)) and all(r.score == got[r.id] for r in best)
 
 
@@ -64,7 +64,7 @@ def test_whole_dead_takes_all_lines(spark, tmp_path):
     lines = [(1, 1, "N", 3.0), (1, 2, "R", 50.0), (2, 3, "R", 10.0), (3, None, "A", 50.0), (3, 9, "A", 50.0)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_returnflag string, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(i, f"part {i}") for i in range(1, 6)], "p_partkey bigint, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    got = sorted(map(tuple, catalogue.dead_symbols_whole(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalogue.dead_parts(spark, str(tmp_path)).collect()))
     assert got == [(4, "part 4", graph.DEAD_REASON), (5, "part 5", graph.DEAD_REASON)]
     db = duckdb.connect()
     for t in ("lineitem", "part"):

@@ -75,7 +75,7 @@ def blast_radius(edges: DataFrame, start: object, depth: int = 3) -> DataFrame:
     kind = edges.schema["dst_id"].dataType.simpleString()
     seen = spark.createDataFrame([(start,)], f"id {kind}").withColumn("depth", F.lit(0))
     frontier = seen
-    links = edges.select(F.col("src_id"), F.col("dst_id")).distinct()
+    links = shelf.keep(edges.select(F.col("src_id"), F.col("dst_id")).distinct())
     for d in range(1, depth + 1):
         found = links.join(frontier.select(F.col("id").alias("dst_id")), "dst_id").select(F.col("src_id").alias("id")).where("id is not null").distinct()
         frontier = shelf.keep(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))

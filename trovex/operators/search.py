@@ -33,28 +33,27 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
 
 
 def _count(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
+    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
 
 
 def bm25(docs: DataFrame, query: str, text: Column, id: str = "id") -> DataFrame:
-    """docs with a score for the query, those above 0. Statistics are of docs as given: filter first what isn't to count.
+    """(id, score) of docs for the query, those above 0. Statistics are of docs as given: filter first what isn't to count.
 
-    A term that is in the query twice counts twice. No term or no document: no rows.
+    A term that is in the query twice counts twice. No term or no document: no rows. Texts are read and cut once: what
+    is kept of each is its length and its counts of the query's terms.
     """
     terms = Counter(tx.query_tokens(query))
     if not terms:
-        return docs.withColumn("score", F.lit(0.0)).where("false")
-    toks = docs.withColumn("_toks", tx.tokens(text))
-    counted = toks.withColumns({"_len": F.size("_toks").cast("double"), **{f"_tf{i}": _count("_toks", t) for i, t in enumerate(terms)}}).drop("_toks")
+        return docs.select(id, F.lit(0.0).alias("score")).where("false")
+    toks = docs.select(F.col(id), tx.tokens(text).alias("_toks"))
+    counted = Shelf(docs.sparkSession).keep(toks.select(id, F.size("_toks").cast("double").alias("_len"), *[_count("_toks", t).alias(f"_tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
+    score, hit = F.lit(0.0), F.lit(False)
     for i, m in enumerate(terms.values()):
         score = score + F.when(F.col(f"_tf{i}") > 0, F.lit(float(m)) * _idf(F.col("_n"), F.col(f"_df{i}")) * _saturated(F.col(f"_tf{i}"), F.col("_len"), F.col("_mean"))).otherwise(0.0)
-    hit = F.lit(False)
-    for i in range(len(terms)):
         hit = hit | (F.col(f"_tf{i}") > 0)
     # stats is one row
-    return counted.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", score).where("score > 0").select(*docs.columns, "score")
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select(id, score.alias("score")).where("score > 0")
 
 
 def postings(docs: DataFrame, text: Column, id: str = "id") -> DataFrame:

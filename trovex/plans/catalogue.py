@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovex.functions import text as tx
 from trovex.functions.lang import language_of, language_sql
 from trovex.operators import context, extract, filters, graph, incremental, intervals, outline, search
 from trovex.shelf import Shelf, workers_find_us
+from trovex.sources.store import write_json
 from trovex.streaming.watch import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +24,6 @@ SHORT = "license version eaux"
 NEEDLE = "licens"
 NAME = "smal gaer"
 BUDGET = 4000
-RANKS = 10
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -87,7 +87,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql(SHORT, where='''lower(lang) = 'en' ''')} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.lower("lang") == "en")  # below the statistics, which it changes
+    docs = filters.narrowed(table(spark, sf_dir, "documents").withColumnRenamed("lang", "language"), language="EN")  # below the statistics, which it changes
     return _bm25(docs, SHORT).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -121,6 +121,23 @@ def text_search_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(hits, "doc_id").select("doc_id", "quality", "toxic", "score")
 
 
+@query(f"""WITH hits AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), '{NEEDLE}', ''))) // {len(NEEDLE)} AS n FROM documents)
+SELECT l.doc_id, l.quality, n::DOUBLE AS score, 'Exact' AS match_type FROM labels l JOIN hits USING (doc_id) WHERE n > 0 ORDER BY n DESC, l.doc_id LIMIT 20""")
+def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are documents, their symbols the labels."""
+    symbols = table(spark, sf_dir, "labels").select(*_file(F.col("doc_id")), F.col("doc_id").alias("id"), "quality")
+    return search.search_text(symbols, _sources(spark, sf_dir), NEEDLE).select(F.col("id").alias("doc_id"), "quality", "score", "match_type")
+
+
+def _file(id: Column) -> list[Column]:
+    return [F.lit("docs").alias("repo_key"), F.concat(F.lit("doc/"), id.cast("string")).alias("file_path")]
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as raw_source."""
+    return table(spark, sf_dir, "documents").select(*_file(F.col("doc_id")), F.col("text").alias("content"))
+
+
 @query()
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
@@ -152,42 +169,68 @@ def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_symbols(_part_symbols(spark, sf_dir), NAME, kind="function").select("id", "name", F.round("score", 9).alias("score"), "match_type")
 
 
-@query(f"""WITH RECURSIVE {bm25_sql(SEARCH)},
+BEST_SQL = f"""{bm25_sql(SEARCH)},
 best AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rn, doc_id, octet_length(encode(text)) // 4 AS tokens FROM scored JOIN documents USING (doc_id) WHERE score > 0 QUALIFY rn <= 50),
 pack AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, false AS taken UNION ALL
-  SELECT b.rn, CASE WHEN used + tokens <= {BUDGET} THEN used + tokens ELSE used END, used + tokens <= {BUDGET} FROM pack p JOIN best b ON b.rn = p.rn + 1)
+  SELECT b.rn, CASE WHEN used + tokens <= {BUDGET} THEN used + tokens ELSE used END, used + tokens <= {BUDGET} FROM pack p JOIN best b ON b.rn = p.rn + 1)"""
+
+
+@query(f"""WITH RECURSIVE {BEST_SQL}
 SELECT doc_id, tokens::BIGINT AS tokens, row_number() OVER (ORDER BY rn)::INT AS pos FROM pack JOIN best USING (rn) WHERE taken""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     best = search.top(_bm25(docs, SEARCH), context.CANDIDATES, "doc_id")
-    sized = docs.select("doc_id", F.floor(F.octet_length("text") / 4).alias("tokens")).join(F.broadcast(best), "doc_id")  # CANDIDATES rows
+    sized = docs.select("doc_id", tx.token_estimate(F.lit(0), F.octet_length("text")).alias("tokens")).join(F.broadcast(best), "doc_id")  # CANDIDATES rows
     return context.packed(sized, BUDGET, id="doc_id").select(F.col("id").alias("doc_id"), "tokens", F.col("pos").cast("int").alias("pos"))
 
 
-@query("SELECT doc_id, substr(hex(encode(text)), 21, 100) AS slice FROM documents")
-def source_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes 10 to 60 of every text, as hex because they may cut a character."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(F.encode("text", "UTF-8"), 11, 50)).alias("slice"))
+def _doc_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a symbol from the byte after its first blank to its end."""
+    start = F.octet_length(F.substring_index("text", " ", 1)) + 1
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        *_file(F.col("doc_id")), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.lit("Function").alias("kind"), F.lit("none").alias("signature"),
+        start.cast("bigint").alias("byte_start"), F.octet_length("text").cast("bigint").alias("byte_end"),
+    )
 
 
-@query("SELECT l.doc_id, l.quality, coalesce(upper(left(sha256(d.text), 16)), 'none') AS content_hash FROM labels l JOIN documents d USING (doc_id)")
-def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
-    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "quality", F.coalesce("content_hash", F.lit("none")).alias("content_hash"))
+@query(f"""WITH RECURSIVE {BEST_SQL.replace("DESC, doc_id", "DESC, doc_id::VARCHAR")}
+SELECT '{SEARCH}' AS query, {BUDGET} AS budget_tokens, coalesce(sum(tokens) FILTER (taken), 0)::BIGINT AS used_tokens, (SELECT count(*) FROM best)::INT - count(*) FILTER (taken)::INT AS excluded_count,
+  string_agg(doc_id || ':' || left(sha256(text), 8), ' ' ORDER BY rn) FILTER (taken) AS symbols FROM pack JOIN best USING (rn) JOIN documents USING (doc_id)""")
+def ranked_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = _doc_symbols(spark, sf_dir).withColumn("byte_start", F.lit(0).cast("bigint"))
+    found = search.top(search.bm25(_sources(spark, sf_dir).withColumn("id", F.substring_index("file_path", "/", -1)), SEARCH, F.col("content")), context.CANDIDATES)
+    found = symbols.join(F.broadcast(found), "id")  # CANDIDATES rows
+    one = context.ranked_context(found, symbols, _sources(spark, sf_dir), SEARCH, BUDGET)
+    said = F.array_join(F.transform("symbols", lambda x: F.concat_ws(":", x.id, F.left(F.sha2(x.source.cast("binary"), 256), F.lit(8)))), " ")
+    return one.select("query", "budget_tokens", F.col("used_tokens").cast("bigint").alias("used_tokens"), "excluded_count", said.alias("symbols"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, sha256(CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END) AS source_hash FROM documents WHERE text IS NOT NULL")
+def source_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol's source, cut from its file by bytes."""
+    found = context.symbol_sources(_doc_symbols(spark, sf_dir), _sources(spark, sf_dir)).where("source is not null")
+    return found.select("id", F.sha2(F.col("source").cast("binary"), 256).alias("source_hash"))
 
 
-HEAVY = "l_returnflag = 'R' AND l_quantity >= 45"
+@query("""SELECT l.doc_id AS pos, d.doc_id::VARCHAR AS id, coalesce(upper(left(sha256(CASE WHEN strpos(text, ' ') > 0 THEN substr(text, strpos(text, ' ') + 1) ELSE '' END), 16)), upper(left(sha256('none'), 16))) AS content_hash
+FROM labels l JOIN documents d USING (doc_id)""")
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"))
+    return context.batch_sources(ids, _doc_symbols(spark, sf_dir), _sources(spark, sf_dir)).select("pos", "id", tx.content_hash(F.col("source")).alias("content_hash"))
 
 
-@query(f"SELECT p_partkey, p_name, '{graph.DEAD_REASON}' AS reason FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {HEAVY})")
+@query("SELECT doc_id, CASE lang WHEN 'es' THEN 'Class' WHEN 'fr' THEN 'Interface' ELSE 'Function' END AS kind, '" + graph.DEAD_REASON + "' AS reason FROM documents WHERE coalesce(lang, '') NOT IN ('es', 'fr') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def dead_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = table(spark, sf_dir, "lineitem").where(HEAVY).select(F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
-    return graph.dead_symbols(table(spark, sf_dir, "part"), uses, "p_partkey", None).select("p_partkey", "p_name", "reason")
+    """Documents are symbols, of kinds by language, and labels refer to them."""
+    kind = F.when(F.col("lang") == "es", "Class").when(F.col("lang") == "fr", "Interface").otherwise("Function").alias("kind")
+    uses = table(spark, sf_dir, "labels").select(F.lit(0).alias("src_id"), F.col("doc_id").alias("dst_id"))
+    return graph.dead_symbols(table(spark, sf_dir, "documents").select("doc_id", kind), uses, "doc_id").select("doc_id", "kind", "reason")
 
 
 @query()
-def dead_symbols_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As dead_symbols, with every line as a reference. The test tables have a line for every part, so no row comes out."""
+def dead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are symbols, and every line refers to one. The test tables have a line for every part, so no row comes out."""
     uses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
     return graph.dead_symbols(table(spark, sf_dir, "part"), uses, "p_partkey", None).select("p_partkey", "p_name", "reason")
 
@@ -213,61 +256,27 @@ def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_edges(spark, sf_dir).groupBy("src_id").agg(F.count(F.lit(1)).alias("out_degree"))
 
 
-def pagerank_sql(rounds: int = RANKS) -> str:
-    parts = [
-        EDGES_SQL,
-        "nodes AS (SELECT p_partkey AS id FROM part)",
-        "links AS MATERIALIZED (SELECT src_id, dst_id, count(*)::DOUBLE AS w FROM edges WHERE q >= 45 AND src_id IN (SELECT id FROM nodes) AND dst_id IN (SELECT id FROM nodes) GROUP BY ALL)",
-        "degs AS MATERIALIZED (SELECT src_id, sum(w) AS deg FROM links GROUP BY src_id)",
-        "n AS (SELECT count(*)::DOUBLE AS n FROM nodes)",
-        "r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes, n)",
-    ]
-    for i in range(1, rounds + 1):
-        parts += [
-            f"lost{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src_id FROM degs))",
-            f"got{i} AS (SELECT dst_id AS id, sum(rank / deg * w) AS got FROM links JOIN r{i - 1} ON id = src_id JOIN degs USING (src_id) GROUP BY dst_id)",
-            f"r{i} AS MATERIALIZED (SELECT id, {1 - graph.DAMPING}::DOUBLE / n + {graph.DAMPING}::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN got{i} USING (id), lost{i}, n)",
-        ]
-    return "WITH " + ",\n".join(parts) + f",\nranked AS (SELECT id, rank / (SELECT max(rank) FROM r{rounds}) AS rank FROM r{rounds})"
-
-
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), part_edges(spark, sf_dir).where("q >= 45"), rounds=RANKS, tolerance=0.0)
+    """Over all edges, with the operator's own rounds and tolerance; a loop to a tolerance has no SQL here."""
+    return graph.pagerank(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), part_edges(spark, sf_dir))
 
 
-@query(f"{pagerank_sql()} SELECT id, round(rank, 6) AS rank FROM ranked")
+@query()
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(spark, sf_dir).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"{pagerank_sql()} SELECT id, round(rank, 6) AS score, 'Exact' AS match_type FROM ranked ORDER BY round(rank, 9) DESC, id LIMIT 20")
+@query()
 def importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _ranks(spark, sf_dir).withColumn("centrality_score", F.round("rank", 9))
     return graph.importance(ranks).select("id", F.round("score", 6).alias("score"), "match_type")
 
 
-def _whole_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all edges, with the operator's own rounds and tolerance."""
-    return graph.pagerank(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), part_edges(spark, sf_dir))
-
-
-@query()
-def pagerank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As pagerank, whose SQL is held to the edges of q >= 45 and RANKS rounds; a loop to a tolerance has no SQL here."""
-    return _whole_ranks(spark, sf_dir).select("id", F.round("rank", 6).alias("rank"))
-
-
-@query()
-def importance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _whole_ranks(spark, sf_dir).withColumn("centrality_score", F.round("rank", 9))
-    return graph.importance(ranks).select("id", F.round("score", 6).alias("score"), "match_type")
-
-
 @query(f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT src_id, dst_id FROM edges),
-walk AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT e.src_id, depth + 1 FROM walk JOIN e ON e.dst_id = walk.id WHERE depth < 2)
+walk AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT e.src_id, depth + 1 FROM walk JOIN e ON e.dst_id = walk.id WHERE depth < 3)
 SELECT id, min(depth)::INT AS depth FROM walk WHERE id <> 1 GROUP BY id""")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.blast_radius(part_edges(spark, sf_dir), 1, 2)
+    return graph.blast_radius(part_edges(spark, sf_dir), 1)
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, conv_id || ':' || (turn - 1) AS parent FROM conversations),
@@ -303,13 +312,17 @@ new AS (SELECT 'doc/' || doc_id AS path, upper(left(sha256(text || '0'), 16)) AS
 diff AS (SELECT path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'deleted' WHEN old.h IS NOT DISTINCT FROM new.h THEN 'unchanged' ELSE 'modified' END AS status FROM old FULL JOIN new USING (path))"""
 
 
-def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """An old listing of labelled documents (changed where toxic) and benchmark items, a new one of all documents."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
     old = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(path, tx.content_hash(F.concat("text", F.col("toxic").cast("string"))).alias("file_hash"))
     old = old.union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item/"), F.col("item_id").cast("string")), tx.content_hash(F.col("text"))))
-    return incremental.manifest_diff(old, docs.select(path, tx.content_hash(F.concat("text", F.lit("0"))).alias("file_hash")))
+    return old, docs.select(path, tx.content_hash(F.concat("text", F.lit("0"))).alias("file_hash"))
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.manifest_diff(*_listings(spark, sf_dir))
 
 
 @query(f"WITH {DIFF_SQL} SELECT path, status FROM diff")
@@ -374,31 +387,51 @@ def summary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.summary(given, sign, F.lit("Function"), F.col("p_brand")).alias("summary"))
 
 
-SOURCES = [
-    ("app/user.py", "python", "import os\n\ndef load(path):\n    return open(path)\n\n\nclass User:\n    def name(self):\n        return 'ü'\n\n\nclass Order:\n    pass\n"),
-    ("app/util.js", "javascript", "function add(a, b) {\n  return a + b;\n}\n\nclass Cart {\n  total(items) {\n    return items.length;\n  }\n}\n"),
-    ("cmd/main.go", "go", 'package main\n\nfunc main() {\n\tprintln("hi")\n}\n\nfunc (s *Server) Start(port int) {\n\tif port > 0 {\n\t}\n}\n'),
-    ("src/lib.rs", "rust", "pub struct Point {\n    x: i32,\n}\n\npub fn area(p: &Point) -> i32 {\n    p.x\n}\n"),
-    ("Models/Item.cs", "csharp", "public class Item\n{\n    public string Title(int n)\n    {\n        return \"é\";\n    }\n}\n"),
-    ("run.sh", "bash", "#!/bin/sh\nfunction setup() {\n  echo hi\n}\n\nclean () {\n  rm -f x\n}\n"),
-    ("empty.py", "python", ""),
-    ("style.css", "css", "a { color: red }\n"),
-]
+CODE_SQL = """code AS (SELECT doc_id AS i, coalesce(lang, '') AS lang, coalesce(n_chars, 0) AS n FROM documents),
+made AS (SELECT i || '.py::load' || i || '#function' AS id, 'Function' AS kind, 'load' || i AS name, 'def load' || i || '(path):' AS signature, 'Gives ' || n || '.' AS summary, 0 AS byte_start, 'def load' || i || '(path):' || chr(10) || '    "Gives ' || n || '."' || chr(10) || '    return ' || n AS text, 1 AS start_line, 3 AS end_line, NULL AS parent_id FROM code WHERE lang NOT IN ('de', 'fr', 'es')
+UNION ALL SELECT i || '.py::Box' || i || '#class', 'Class', 'Box' || i, 'class Box' || i || ':', 'class Box' || i || ':', length('def load' || i || '(path):' || chr(10) || '    "Gives ' || n || '."' || chr(10) || '    return ' || n) + 3, 'class Box' || i || ':' || chr(10) || '    def size(self):' || chr(10) || '        return "é"', 6, 8, NULL FROM code WHERE lang NOT IN ('de', 'fr', 'es')
+UNION ALL SELECT i || '.py::Box' || i || '.size#method', 'Method', 'size', 'def size(self):', 'def size(self):', length('def load' || i || '(path):' || chr(10) || '    "Gives ' || n || '."' || chr(10) || '    return ' || n || 'class Box' || i || ':') + 8, 'def size(self):' || chr(10) || '        return "é"', 7, 8, i || '.py::Box' || i || '#class' FROM code WHERE lang NOT IN ('de', 'fr', 'es')
+UNION ALL SELECT i || '.go::run' || i || '#function', 'Function', 'run' || i, 'func run' || i || '(n int) {', 'Runs it.', 12, 'func run' || i || '(n int) {' || chr(10) || chr(9) || 'if n > ' || n || ' {' || chr(10) || chr(9) || '}' || chr(10) || '}', 2, 5, NULL FROM code WHERE lang = 'de'
+UNION ALL SELECT i || '.cs::Item' || i || '#class', 'Class', 'Item' || i, 'public class Item' || i, 'public class Item' || i, 0, 'public class Item' || i || chr(10) || '{' || chr(10) || '}', 1, 3, NULL FROM code WHERE lang = 'fr'
+UNION ALL SELECT i || '.hs::area' || i || '#function', 'Function', 'area' || i, 'area' || i || ' :: Int', 'area' || i || ' :: Int', 0, 'area' || i || ' :: Int' || chr(10) || 'area' || i || ' = ' || n || chr(10), 1, 3, NULL FROM code WHERE lang = 'es')"""
 
 
-def source_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("sample", *s) for s in SOURCES], "repo_key string, path string, language string, content string")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for every document, in a language that goes by the text's; the tables hold no code."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("n_chars", F.lit(0)).cast("string").alias("n"))
+    say = lambda *parts: F.concat(*[F.col(x) if x in ("i", "n") else F.lit(x) for x in parts])
+    text = F.when(F.col("lang") == "de", say("// Runs it.\nfunc run", "i", "(n int) {\n\tif n > ", "n", " {\n\t}\n}\n")).when(F.col("lang") == "fr", say("public class Item", "i", "\n{\n}\n"))
+    text = text.when(F.col("lang") == "es", say("area", "i", " :: Int\narea", "i", " = ", "n", "\n")).otherwise(say("def load", "i", '(path):\n    "Gives ', "n", '."\n    return ', "n", "\n\n\nclass Box", "i", ':\n    def size(self):\n        return "é"\n'))
+    ending = F.when(F.col("lang") == "de", "go").when(F.col("lang") == "fr", "cs").when(F.col("lang") == "es", "hs").otherwise("py")
+    path = F.concat_ws(".", "i", ending)
+    return d.select(F.lit("made").alias("repo_key"), path.alias("path"), language_of(path).alias("language"), text.alias("content"))
 
 
-@query()
+@query(f"WITH {CODE_SQL} SELECT id, kind, name, signature, summary, byte_start::BIGINT AS byte_start, (byte_start + octet_length(encode(text)))::BIGINT AS byte_end, start_line, end_line, parent_id, upper(left(sha256(text), 16)) AS content_hash FROM made")
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbols of a few sources in six languages; the tables hold no code."""
-    return extract.extract_symbols(source_files(spark)).select("id", "kind", "name", "qualified_name", "signature", "summary", "byte_start", "byte_end", "start_line", "end_line", "parent_id", "content_hash")
+    found = extract.extract_symbols(source_files(spark, sf_dir))
+    return found.select("id", "kind", "name", "signature", "summary", "byte_start", "byte_end", "start_line", "end_line", "parent_id", "content_hash")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 25 AND starts_with(lower(p_brand), 'brand#1')")
+def symbols_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "Class").otherwise("Enum").alias("kind"), F.lit("Python").alias("language"), F.col("p_brand").alias("file_path"))
+    return filters.narrowed(p, kind="class", language="python", prefix="BRAND#1").select("p_partkey", "p_name")
+
 
+@query(f"""WITH {DIFF_SQL} SELECT path AS file_path, l.quality FROM labels l JOIN diff ON path = 'doc/' || doc_id WHERE status = 'unchanged'
+UNION ALL SELECT path, -1 FROM diff WHERE status IN ('added', 'modified')""")
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of unchanged files as they were, those of others made anew."""
+    symbols = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("quality").cast("int").alias("quality"))
+    old, new = _listings(spark, sf_dir)
+    return incremental.refreshed(symbols, old, new, lambda files: files.select(F.col("path").alias("file_path"), F.lit(-1).alias("quality")))
 
-@query("SELECT lang, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents GROUP BY lang")
+
+@query("SELECT (SELECT count(*) FROM labels) AS symbol_count, count(DISTINCT doc_id) AS file_count, sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("total_bytes"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").alias("size_bytes"))
+    return incremental.index_stats(table(spark, sf_dir, "labels"), files)
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
@@ -409,47 +442,26 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.col("fire_ts").cast("timestamp_ntz").alias("fire_ts"), "events")
 
 
-@query("SELECT lang, count(*) AS docs, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a file stream that is read to its end into a table in the shared folder."""
-    shelf = Shelf(spark)
-    rows = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(sf_dir, shelf, spark))
-    write = stream.select("doc_id", "lang", F.octet_length("text").alias("bytes")).writeStream.format("parquet").option("path", f"{shelf.base}/in").option("checkpointLocation", f"{shelf.base}/state")
-    write.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{shelf.base}/in").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes"))
-
-
 def _folder(sf_dir: str, shelf: Shelf, spark: SparkSession) -> str:
     """A stream reads folders; documents may be one file, so they are laid out as a folder first."""
     table(spark, sf_dir, "documents").write.parquet(f"{shelf.base}/drop")
     return f"{shelf.base}/drop"
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
-def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to JSON and back."""
-    lines = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
-    return lines.select(F.from_json("line", "doc_id bigint, lang string, source string, n_chars bigint").alias("r")).select("r.*")
-
-
 TEXTS_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_hash FROM documents"
 
 
 @query(TEXTS_SQL)
-def json_export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As json_export, texts included; of the texts that came back the hashes. Lines go through files: Spark's optimizer
-    strikes from_json of to_json out, so that nothing would become JSON.
-    """
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows to files of JSON lines and back, texts included; of the texts that came back the hashes."""
     shelf, docs = Shelf(spark), table(spark, sf_dir, "documents")
-    docs.select(F.to_json(F.struct(*docs.columns)).alias("line")).write.text(f"{shelf.base}/lines")
-    lines = spark.read.text(f"{shelf.base}/lines").withColumnRenamed("value", "line")
-    return _hashed(lines.select(F.from_json("line", docs.schema).alias("r")).select("r.*"))
+    write_json(docs, f"{shelf.base}/lines")
+    return _hashed(spark.read.schema(docs.schema).json(f"{shelf.base}/lines"))
 
 
 @query(TEXTS_SQL)
-def stream_ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As stream_ingest, with all columns through the sink; of the texts that were written the hashes."""
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a file stream that is read to its end into a table in the shared folder; of the texts that were written the hashes."""
     shelf = Shelf(spark)
     rows = table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_folder(sf_dir, shelf, spark))

@@ -88,4 +88,9 @@ class Store:
 
     def export_json(self, key: str, path: str) -> None:
         """The symbols as JSON lines, nulls left out."""
-        self.load(key)["symbols"].write.mode("overwrite").json(path)
+        write_json(self.load(key)["symbols"], path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines below path, nulls left out."""
+    rows.write.mode("overwrite").json(path)
