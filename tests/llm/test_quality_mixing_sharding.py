@@ -112,3 +112,42 @@ def test_sharding_on_messy_rows(messy, none, spark):
     assert sharding.assigned(none).count() == 0
     hollow = spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string")
     assert {r.shard for r in sharding.assigned(hollow).collect()} == {0}
+
+
+def newton(good, bad, cfg, seed):
+    """Weights by Newton's method on all of the drawn pairs' differences."""
+    both = np.concatenate([good, bad])
+    scale = np.where(both.std(0) > 1e-9, both.std(0), np.inf)
+    rng = np.random.default_rng(seed)
+    d = (good[rng.integers(0, len(good), cfg.pairs)] - bad[rng.integers(0, len(bad), cfg.pairs)]) / scale
+    w = np.zeros(d.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + cfg.ridge * np.eye(len(w)), -(d * (1 - p)[:, None]).mean(0) + cfg.ridge * w)
+    return w / scale
+
+
+def test_fit_ranks_as_newton_does():
+    rng = np.random.default_rng(0)
+    n = len(quality.FEATURES)
+    good, bad = rng.normal(0.5, 1, (400, n)), rng.normal(0, 1, (400, n))
+    cfg = quality.Ranker(pairs=4000)
+    x = rng.normal(0, 1, (500, n))
+    assert np.corrcoef(x @ quality.fit(good, bad, cfg), x @ newton(good, bad, cfg, cfg.seed))[0, 1] > 0.99
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("id % 2 as doc_id", "concat('some words ', id) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda good, bad, cfg: seen.append(len(good) + len(bad)) or np.zeros(len(quality.FEATURES)))
+    quality.train(docs, labels, quality.Ranker(train_docs=50))
+    assert seen == [50]
+
+
+def test_mixing_by_given_domain_and_tokens(spark):
+    rows = [(i, "x", "en", "s", "a" if i % 2 else None, 10) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, dom string, n int")
+    mix = mixing.Mix(weights={"domain": {"a": 3, "(none)": 1}}, budget=0.5, epochs=1)
+    got = mixing.mixture(docs, mix, domain="dom", tokens="n").groupBy("domain").sum("tokens").collect()
+    assert {tuple(r) for r in got} == {("a", 150), ("(none)", 50)}

@@ -76,9 +76,13 @@ def test_damaged_block_raises():
 def test_lookup_of_few_and_of_many(spark, docs, monkeypatch):
     rows = sstable.sorted_shards(docs, cfg=sstable.Layout(block_bytes=5000)).cache()
     keys = spark.createDataFrame([(3,), (3,), (150,), (10**7,)], "doc_id bigint")
-    for most in (sstable.BROADCAST_KEYS, 0):
-        monkeypatch.setattr(sstable, "BROADCAST_KEYS", most)
+    for most in (sstable.FEW_KEYS, 0):
+        monkeypatch.setattr(sstable, "FEW_KEYS", most)
         assert sorted(sstable.id_of(bytes(r.key)) for r in sstable.lookup(rows, keys).collect()) == [3, 150]
+    wanted = sstable._as_keys(keys, "doc_id")
+    opened = sstable.located(rows, wanted).count()
+    assert opened <= 2 < 20 < rows.where("kind = 'data'").count()  # one block for each key that is there, none for the others
+    assert sstable.lookup(rows, keys.where("false")).count() == 0
 
 
 def test_warc_as_duckdb(spark, sf):
@@ -95,7 +99,7 @@ def test_warc_on_messy_rows(spark, pages, tmp_path):
     warc.write_archive(pages, str(tmp_path))
     bodies = spark.read.parquet(f"{tmp_path}/payloads").collect()
     assert Counter(r.uses for r in bodies) == Counter([3, 1, 1]) and all(r.size == len(r.payload) for r in bodies)
-    got = Counter((r.id, r.record) for r in warc.read_archive(spark, str(tmp_path)).collect())
+    got = Counter((r.id, r.record.decode()) for r in warc.read_archive(spark, str(tmp_path)).collect())
     assert sum(got.values()) == 7 and len(got) == 6
     heads = {i: x.split("\r\n\r\n", 1) for i, x in got}
     for i, url, html, *_ in pages.collect():
@@ -112,3 +116,13 @@ def test_changed_or_missing_payload_stops_the_job(pages):
         warc.records(headers, bodies.withColumn("payload", F.encode(F.lit("other"), "UTF-8"))).collect()
     with pytest.raises(Exception, match="payload missing or changed"):
         warc.records(headers, bodies.where("size > 100")).collect()
+
+
+def test_bytes_and_headers_come_back_as_they_were(spark):
+    rows = [(1, bytearray(b"\xff\xd8\x00"), bytearray(b"WARC/1.1\r\nX: \xe9\r\n\r\n")), (2, bytearray(b"\xff\xd8\x00"), bytearray(b"WARC/1.0\r\n\r\n")), (3, bytearray(bytes(range(256)) * 5000), None), (4, None, bytearray(b"h"))]
+    pages = spark.createDataFrame(rows, "page_id int, html binary, head binary")
+    headers, bodies = warc.archive(pages, header="head")
+    assert bodies.count() == 2
+    assert {r.id: bytes(r.record) for r in warc.records(headers, bodies).collect()} == {i: bytes(h or b"") + bytes(b or b"") for i, b, h in rows}
+    made = warc.archive(pages.withColumn("url", F.lit("u")))
+    assert all(bytes(r.record).endswith(bytes(rows[r.id - 1][1] or b"")) for r in warc.records(*made).collect())

@@ -83,20 +83,21 @@ def _shuffled(mix: Mix, epoch: Column, id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(id.cast("string"), F.lit(""))))
 
 
-def drawn(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+def drawn(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", domain: str | None = None, tokens: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(docs with columns added, their names by domain, lang, source, tokens, epochs): the documents that are drawn, epochs times each.
 
-    Nulls of lang and source are nodes "(none)"; a null identifier is hashed as an empty one. Documents without a byte
-    of text aren't drawn. Documents of a leaf with equal hashes (repeated identifiers) are drawn together or not at all,
+    domain and tokens name columns of the documents' domain and number of tokens; without them the domain is read off the
+    source and tokens are estimated from the text. Nulls of domain, lang and source are nodes "(none)"; a null identifier is hashed as an empty one. Documents without
+    a token aren't drawn. Documents of a leaf with equal hashes (repeated identifiers) are drawn together or not at all,
     so that the last epoch never exceeds its rest. Weights are positive whole numbers. An empty table stays empty.
     """
     names = dict(zip([*LEVELS, "tokens", "epochs", "seal", "full", "rest", "cut"], fresh(docs, "domain_node", "lang_node", "source_node", "tokens", "epochs", "seal", "full", "rest", "cut")))
     at = lambda k: F.col(names[k])
     tree = {
-        names["domain"]: domain_of(F.coalesce(col(docs, "source").cast("string"), F.lit(""))),
+        names["domain"]: F.coalesce(col(docs, domain).cast("string"), F.lit(NONE)) if domain else domain_of(F.coalesce(col(docs, "source").cast("string"), F.lit(""))),
         names["lang"]: F.coalesce(col(docs, "lang").cast("string"), F.lit(NONE)),
         names["source"]: F.coalesce(col(docs, "source").cast("string"), F.lit(NONE)),
-        names["tokens"]: tokens_of(col(docs, text).cast("string")),
+        names["tokens"]: F.coalesce(col(docs, tokens).cast("bigint"), F.lit(0).cast("bigint")) if tokens else tokens_of(col(docs, text).cast("string")),
     }
     docs = docs.withColumns(tree).where(at("tokens") > 0)
     shelf = Shelf(docs.sparkSession)
@@ -121,15 +122,15 @@ def drawn(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "te
     return out.drop(names["full"], names["cut"]), {k: names[k] for k in (*LEVELS, "tokens", "epochs")}
 
 
-def mixture(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def mixture(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", domain: str | None = None, tokens: str | None = None) -> DataFrame:
     """(id, domain, lang, source, tokens, epochs) of every document drawn; see drawn."""
-    out, names = drawn(docs, mix, id, text)
+    out, names = drawn(docs, mix, id, text, domain, tokens)
     return out.select(col(out, id).alias(id), *[F.col(v).alias(k) for k, v in names.items()])
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix = Mix(), id: str = "doc_id", text: str = "text", domain: str | None = None, tokens: str | None = None) -> DataFrame:
     """docs as drawn: a row for every epoch that a document is in, all columns as they were; see drawn."""
-    out, names = drawn(docs, mix, id, text)
+    out, names = drawn(docs, mix, id, text, domain, tokens)
     (again,) = fresh(out, "again")
     return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(names["epochs"])))).select(*[col(out, c) for c in docs.columns])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trovex.llm import kernel as K
-from trovex.llm.shared import Shelf, col, fresh
+from trovex.llm.shared import Shelf, col, fresh, key_join
 
 FEATURES = ("upper", "digit", "space", "stop", "other", "repeat", "distinct", "word_bytes", "long_words", "lines", "words")
 
@@ -101,18 +101,20 @@ def fit(good: np.ndarray, bad: np.ndarray, cfg: Ranker = Ranker()) -> np.ndarray
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(K.text_array(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["good", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["good", "place", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: Ranker = Ranker(), id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """Weights from at most cfg.train_docs labelled documents: label 1 is preferred to label 0, other labels count for nothing.
 
-    An identifier with both labels is on both sides. Zeros if one side is missing.
+    An identifier with both labels is on both sides, and all rows of a repeated identifier are looked at; if rows beyond the
+    bound come together so, those first by a hash of identifier and text are taken. Zeros if one side is missing.
     """
     drawn = labels.select(col(labels, id).alias("id"), (col(labels, label) == 1).alias("good")).where(col(labels, label).isin(0, 1) & F.col("id").isNotNull())
     drawn = drawn.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(cfg.seed)), "id", "good").limit(cfg.train_docs)
-    rows = docs.select(col(docs, id).alias("id"), col(docs, text).cast("string").alias("t")).join(F.broadcast(drawn), "id").select("good", "t")  # at most train_docs rows
-    found = rows.mapInArrow(_featured, "good boolean, x array<double>").toPandas()
+    rows = docs.select(col(docs, id).alias("id"), col(docs, text).cast("string").alias("t")).join(F.broadcast(drawn), "id")  # at most train_docs rows
+    rows = rows.select("good", "t", F.xxhash64(F.col("id").cast("string"), "t", F.lit(cfg.seed)).alias("place"))
+    found = rows.mapInArrow(_featured, "good boolean, place bigint, x array<double>").orderBy("place", "good").limit(cfg.train_docs).toPandas()
     x = lambda side: np.array(found.x[found.good == side].tolist()).reshape(-1, len(FEATURES))
     good, bad = (y[np.lexsort(y.T)] for y in (x(True), x(False)))  # in an order of their own, whatever Spark's
     return fit(good, bad, cfg)
@@ -133,7 +135,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text") -> tuple[Da
 
 
 def threshold(scores: DataFrame, labels: DataFrame, score: str, cfg: Ranker = Ranker(), id: str = "doc_id", label: str = "quality") -> float | None:
-    """The cfg.reject_share quantile of the scores of all documents labelled good, counted exactly on the rounded scores; None if there are none."""
+    """The cfg.reject_share quantile of the scores of all documents labelled good, cut to thousandths; None if there are none."""
     good = labels.select(col(labels, id).alias("id")).where((col(labels, label) == 1) & F.col("id").isNotNull()).distinct()
     bins = scores.select(col(scores, id).alias("id"), F.floor(col(scores, score) * 1000).alias("bin")).join(good, "id").where("bin is not null").groupBy("bin").count().orderBy("bin").collect()  # a row for each thousandth that occurs
     below, total = 0, sum(r["count"] for r in bins)
@@ -148,7 +150,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cfg: Ranker = Ranker(), i
     """(id, score, keep) of every row of docs. keep is false below the threshold and for null and empty texts.
 
     Without good or without bad labels all scores are 0 and every non-empty text is kept. Identifiers may repeat or be
-    null: each row is judged by its own text. Equal texts have equal scores. An empty table gives no rows.
+    null: each row is judged by its own text. Equal texts have equal scores. Texts of any length are scored whole; other
+    columns are dropped, whatever their names. An empty table gives no rows.
     """
     shelf = Shelf(docs.sparkSession)
     weights = train(docs, labels, cfg, id, text, label)
@@ -160,10 +163,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cfg: Ranker = Ranker(), i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: Ranker = Ranker(), id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of docs that quality_scores keeps, all columns as they were."""
+    """The rows of docs that quality_scores keeps, all columns as they were, whatever their names. Texts of any length are scored whole; an empty table stays empty."""
     weights = train(docs, labels, cfg, id, text, label)
+    good = labels.select(col(labels, id).alias(id)).where(col(labels, label) == 1).distinct()
     slim = docs.select(col(docs, id).alias(id), col(docs, text).cast("string").alias(text))
-    out, score = scored(slim, weights, text)
+    out, score = scored(key_join(slim, good, [id], "left_semi"), weights, text)  # the threshold asks for no others
     low = threshold(out, labels, score, cfg, id, label)
     names = docs.columns
     (t,) = fresh(docs, "t")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trovex.llm import bpe, exact_dedup, licenses, mixing, near_dedup, phrases, quality, sharding, sstable, warc
 from trovex.llm.shared import workers_find_us
@@ -55,7 +56,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, taken from the archive's two tables."""
-    return warc.records(*warc.archive(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+    records = warc.records(*warc.archive(_table(spark, sf_dir, "pages")))
+    return records.select(F.col("id").alias("page_id"), "digest", F.decode("record", "UTF-8").alias("record"))  # pages are text
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_licenses, op3_bpe, op4_exact_dedup, op5_phrases, op6_near_dedup, op7_mixing, op8_quality, op9_sharding, op10_warc)}

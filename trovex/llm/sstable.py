@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovex.llm.shared import BROADCAST_KEYS, col, fresh
+from trovex.llm.shared import col, fresh
 
 MAGIC = b"TVXSST01"
 FOOTER = "<QQQQQQ8s"
+#: Keys up to this number are sent to the shards; more are joined.
+FEW_KEYS = 100_000
 FOOTER_BYTES = struct.calcsize(FOOTER)
 ROWS = "shard string, part int, kind string, offset bigint, first_key binary, last_key binary, entries int, payload binary"
 
@@ -267,34 +269,73 @@ def shard_bytes(rows: DataFrame, shard: str) -> bytes:
     return b"".join(bytes(r.payload) for r in rows.where(F.col("shard") == shard).orderBy("offset").select("payload").collect())
 
 
+def _as_keys(keys: DataFrame, id: str) -> DataFrame:
+    """(key) of the distinct identifiers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in batch.column(0).to_pylist()], pa.binary())], names=["key"])
+
+    return keys.select(col(keys, id).alias("id")).distinct().mapInArrow(run, "key binary")
+
+
+def located(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(shard, offset, keys): the data blocks that may hold one of wanted(key), at most FEW_KEYS of them, with those keys.
+
+    A shard's key range and Bloom filter decide whether its index is read, and the sparse index which of its blocks.
+    """
+    sought = rows.sparkSession.sparkContext.broadcast(sorted(bytes(r.key) for r in wanted.collect()))
+
+    def blooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, found = [], []
+            for shard, a, b, bloom in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                keys = [k for k in sought.value[bisect_left(sought.value, a) : bisect_right(sought.value, b)] if Bloom.may_have(bloom, k)]
+                if keys:
+                    shards.append(shard)
+                    found.append(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(found, pa.list_(pa.binary()))], names=["shard", "keys"])
+
+    def indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, list[bytes]]] = []
+            for shard, index, keys in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                lasts, places = zip(*((k, struct.unpack("<QQ", v)[0]) for k, v in entries(index)))
+                at: dict[int, list[bytes]] = {}
+                for k in keys:
+                    for i in range(bisect_left(lasts, k), len(lasts)):
+                        at.setdefault(places[i], []).append(k)
+                        if lasts[i] > k:  # equal keys may go on in the next block
+                            break
+                out += [(shard, offset, found) for offset, found in at.items()]
+            shards, offsets, found = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(offsets, pa.int64()), pa.array(found, pa.list_(pa.binary()))], names=["shard", "offset", "keys"])
+
+    asked = rows.where("kind = 'bloom'").select("shard", "first_key", "last_key", "payload").mapInArrow(blooms, "shard string, keys array<binary>")
+    index = rows.where("kind = 'index'").select("shard", "payload").join(asked, "shard")
+    return index.select("shard", "payload", "keys").mapInArrow(indexes, "shard string, offset bigint, keys array<binary>")
+
+
 def lookup(rows: DataFrame, keys: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(key, value) of every row stored under one of the identifiers in keys; those not there give nothing.
+    """(key, value) of every row stored under one of the identifiers in keys; those not there give nothing, a null one the rows without an identifier.
 
-    A few keys go to every block, which is opened only if its range holds one; many keys are joined with all entries.
+    For up to FEW_KEYS keys only the blocks that located names are opened; more are joined with all entries.
     """
-    wanted = keys.select(col(keys, id).alias("id")).distinct()
-    n = wanted.count()
-    data = rows.where("kind = 'data'").select("first_key", "last_key", "payload")
-    if n <= BROADCAST_KEYS // 40:
-        sought = rows.sparkSession.sparkContext.broadcast(sorted(key_of(r.id) for r in wanted.collect()))
+    wanted = _as_keys(keys, id)
+    pairs = lambda found: pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([v.decode() for _, v in found], pa.string())], names=["key", "value"])
+    data = rows.where("kind = 'data'")
+    if wanted.count() <= FEW_KEYS:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for a, b, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    i = bisect_left(sought.value, a)
-                    while i < len(sought.value) and sought.value[i] <= b:
-                        out += [(sought.value[i], v) for v in find(block, sought.value[i])]
-                        i += 1
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([v.decode() for _, v in out], pa.string())], names=["key", "value"])
+                yield pairs([(k, v) for block, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in some for v in find(block, k)])
 
-        return data.mapInArrow(run, "key binary, value string")
+        opened = data.join(F.broadcast(located(rows, wanted)), ["shard", "offset"])  # two rows a key at most, but for repeated keys
+        return opened.select("payload", "keys").mapInArrow(run, "key binary, value string")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.column(2).to_pylist():
-                k, v = zip(*entries(block))
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([x.decode() for x in v], pa.string())], names=["key", "value"])
+            for block in batch.column(0).to_pylist():
+                yield pairs(list(entries(block)))
 
-    to_key = F.udf(key_of, "binary")
-    return data.mapInArrow(every, "key binary, value string").join(wanted.select(to_key("id").alias("key")), "key", "left_semi")
+    return data.select("payload").mapInArrow(every, "key binary, value string").join(wanted, "key", "left_semi")

@@ -27,16 +27,19 @@ def header_of(id: Column, url: Column, payload: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html") -> tuple[DataFrame, DataFrame]:
-    """(headers(id, header, digest), payloads(digest, payload, size, uses)).
+def archive(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", header: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(headers(id, header, digest), payloads(digest, payload, size, uses)), header and payload as bytes.
 
-    Every row of pages has a header, repeated rows too. A null payload has a header without a digest; an empty one is a
+    header names a column of the records' exact headers, text or bytes, kept as they are (a null is an empty one); without
+    one they are made by header_of. Payloads are any bytes, or text as UTF-8, of any length. Every row of pages has a header, repeated rows too. A null payload has a header without a digest; an empty one is a
     payload like others. Two payloads of one digest that differ in length or MD5 stop the job: the digest is verified
     before bytes are shared. Other columns are dropped. An empty table gives two empty ones.
     """
-    body = F.encode(col(pages, payload).cast("string"), "UTF-8") if dict(pages.dtypes)[payload] != "binary" else col(pages, payload)
-    rows = pages.select(col(pages, id).alias("id"), col(pages, url).alias("url"), body.alias("payload"))
-    headers = rows.select("id", header_of(F.col("id"), F.col("url"), F.col("payload")).alias("header"), F.sha2("payload", 256).alias("digest"))
+    raw = lambda name: col(pages, name) if dict(pages.dtypes)[name] == "binary" else F.encode(col(pages, name).cast("string"), "UTF-8")
+    given = F.coalesce(raw(header), F.lit(b"")) if header else F.lit(None).cast("binary")
+    rows = pages.select(col(pages, id).alias("id"), (F.lit(None) if header else col(pages, url)).alias("url"), raw(payload).alias("payload"), given.alias("given"))
+    made = F.col("given") if header else F.encode(header_of(F.col("id"), F.col("url"), F.col("payload")), "UTF-8")
+    headers = rows.select("id", made.alias("header"), F.sha2("payload", 256).alias("digest"))
     held = rows.where("payload is not null").select(F.sha2("payload", 256).alias("digest"), "payload", F.struct(F.octet_length("payload").alias("size"), F.md5("payload").alias("md5")).alias("proof"))
     stored = held.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("proof").alias("p"), F.max("proof").alias("q"), F.count(F.lit(1)).alias("uses"))
     same = F.when(F.col("p") == F.col("q"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payloads of one digest differ: "), F.col("digest"))).cast("binary"))
@@ -44,10 +47,10 @@ def archive(pages: DataFrame, id: str = "page_id", url: str = "url", payload: st
 
 
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(id, digest, record) of every header: its bytes and its payload's, as text. A payload that doesn't have its digest stops the job; so does a digest without a payload."""
+    """(id, digest, record) of every header: its bytes and its payload's. A payload that doesn't have its digest stops the job; so does a digest without a payload."""
     joined = headers.join(payloads.select("digest", "payload"), "digest", "left")
     right = F.col("digest").isNull() | (F.sha2("payload", 256) == F.col("digest"))
-    body = F.when(F.coalesce(right, F.lit(False)), F.coalesce(F.decode("payload", "UTF-8"), F.lit(""))).otherwise(F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("digest"))).cast("string"))
+    body = F.when(F.coalesce(right, F.lit(False)), F.coalesce("payload", F.lit(b""))).otherwise(F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("digest"))).cast("binary"))
     return joined.select("id", "digest", F.concat("header", body).alias("record"))
 
 
