@@ -27,8 +27,8 @@ from trovex.llm import kernel as K
 from trovex.llm.shared import Shelf, col, components, key_join
 
 WIDE = "id string, k bigint, len int, h bigint, alt bigint, n int, keys binary, bits binary, probes binary"
-#: Buckets of more sets are first linked by the hubs of their size classes alone. It changes cost, not results.
-HUB = 16
+#: Buckets of more sets are first linked by the hubs of their size classes alone: fewer pairs to check in groups of near copies. It changes cost, not results.
+HUB = 1
 #: Shingles of a set that are looked up in larger ones.
 PROBES = 32
 #: The filter of shingles that are looked up has so many bits for each, within these bounds (64 MB); a fuller one lets more rows pass and loses none.
@@ -36,7 +36,7 @@ FILTER_BITS, FILTER_LEAST, FILTER_MOST = 32, 20, 29
 #: Bytes of a shingle's hash.
 ELEMENT = 5
 #: Rows of (probe, set) that are broadcast, 20 bytes each; more are joined by shuffle.
-FEW_ASKED = 2_000_000
+FEW_ASKED = 500_000
 #: Pairs of sets that share their hash are told apart through a table of so many rows at most, 16 bytes each; 64-bit hashes of 10**12 sets give about 30,000.
 CLASHES = 1_000_000
 
@@ -240,26 +240,22 @@ def _used(cfg: Ensemble, apart: Column, r: Column, band: Column) -> Column:
     return out
 
 
-def _bounded(threshold: float):
-    """Pairs whose bitmaps allow the overlap: a bit of the smaller set that the larger hasn't is a shingle that it hasn't. None at the threshold is lost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            sizes = np.array([(len(x), len(y)) for x, y in zip(left, right)])
-            missing = np.zeros(batch.num_rows, np.int64)
-            for m, k in np.unique(sizes, axis=0):
-                rows = np.flatnonzero((sizes == (m, k)).all(1))
-                x = np.frombuffer(b"".join(left[i] for i in rows), np.uint8).reshape(-1, m)
-                y = np.frombuffer(b"".join(right[i] for i in rows), np.uint8)
-                y = np.bitwise_or.reduce(y.reshape(-1, k // m, m), axis=1) if k >= m else np.tile(y.reshape(-1, k), m // k)
-                missing[rows] = np.bitwise_count(x & ~y).sum(1)
-            n = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array(n - missing >= threshold * n - 1e-9))
-
-    return run
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps allow the overlap of least: a bit of the smaller set that the larger hasn't is a shingle that it hasn't. No pair that reaches it is lost."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        left, right = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+        sizes = np.array([(len(x), len(y)) for x, y in zip(left, right)])
+        missing = np.zeros(batch.num_rows, np.int64)
+        for m, k in np.unique(sizes, axis=0):
+            rows = np.flatnonzero((sizes == (m, k)).all(1))
+            x = np.frombuffer(b"".join(left[i] for i in rows), np.uint8).reshape(-1, m)
+            y = np.frombuffer(b"".join(right[i] for i in rows), np.uint8)
+            y = np.bitwise_or.reduce(y.reshape(-1, k // m, m), axis=1) if k >= m else np.tile(y.reshape(-1, k), m // k)
+            missing[rows] = np.bitwise_count(x & ~y).sum(1)
+        n, least = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)], names=["a", "b", "na", "nb", "least"]).filter(pa.array(n - missing >= least))
 
 
 def _elements(cfg: Ensemble, clashes: Clashes):
@@ -281,12 +277,12 @@ def _elements(cfg: Ensemble, clashes: Clashes):
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = []
-        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+        for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
             x, y = _unpacked(x), _unpacked(y)
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "both"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "least", "both"])
 
 
 class _Run:
@@ -296,13 +292,13 @@ class _Run:
         self.shelf, self.rows, self.sets, self.one, self.clashes, self.cfg = shelf, rows, sets, one, clashes, cfg
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        """exact, once the pairs that the bitmaps rule out are gone."""
+        """exact for candidates (a, b, na, nb, least), once the pairs that the bitmaps rule out are gone."""
         bits = self.one.select("h", "bits")
         pairs = pairs.join(bits.select(F.col("h").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("h").alias("b"), F.col("bits").alias("bb")), "b")
-        return self.exact(self.shelf.keep(pairs.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded(self.cfg.threshold), "a bigint, b bigint, na int, nb int")))
+        return self.exact(self.shelf.keep(pairs.select("a", "b", "na", "nb", "least", "ba", "bb").mapInArrow(_bounded, "a bigint, b bigint, na int, nb int, least int")))
 
     def exact(self, pairs: DataFrame) -> DataFrame:
-        """Of the kept candidates (a, b, na, nb) those whose sets reach the threshold of the smaller, with their common shingles: (a, b, na, nb, both). pairs is dropped.
+        """Of the kept candidates (a, b, na, nb, least) those with at least so many common shingles: (a, b, na, nb, both). pairs is dropped.
 
         The sets are made anew from their texts, so that they needn't be kept for all documents. Shingles are compared
         by hashes of 8 * ELEMENT bits, so two sets of n and m have n * m / 2**40 more in common by chance.
@@ -313,20 +309,24 @@ class _Run:
         elems = key_join(self.rows.select("t", "k"), texts, ["k"], "left_semi").select("t").mapInArrow(_elements(self.cfg, self.clashes), "h bigint, elems binary")
         elems = shelf.keep(elems.groupBy("h").agg(F.first("elems").alias("elems")), "none")
         joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
-        both = joined.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, both int")
-        out = shelf.keep(both.where(F.col("both") >= F.lit(self.cfg.threshold) * F.least("na", "nb") - F.lit(1e-9)))
+        both = joined.select("a", "b", "na", "nb", "least", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, least int, both int")
+        out = shelf.keep(both.where("both >= least").drop("least"))
         shelf.drop(elems, texts, pairs)
         return out
 
     def alike(self, index: DataFrame) -> DataFrame:
-        """Links of sets of up to max_ratio times the size, from the buckets they share; index is dropped. Not all links within one group of near copies are in it."""
+        """Links of sets of up to max_ratio times the size, from the buckets they share; index is dropped.
+
+        Not in it are links within a crowd that is tied together by others, and sets held by, but no near copies of, larger
+        ones where their document can't be the one that stays of its crowd.
+        """
         shelf, cfg = self.shelf, self.cfg
         fits = lambda a, b: F.col(b) <= F.lit(cfg.max_ratio + 1e-9) * F.col(a)
         # First only each large bucket's hubs are linked with their classes: that ties groups of many copies together in linear time.
         star = index.where("hub is not null and h <> hub.h").where(_used(cfg, F.lit(0), F.col("r"), F.col("band")))
         star = star.select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-        first = self.checked(star)
-        label = components(shelf, self.near(first))
+        first = self.checked(star.withColumn("least", self.needed("na")))
+        label = shelf.keep(components(shelf, self.near(first)))
         labelled = index.select("key", "h", "n", "band", "r", "step", "m").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
         # Then all pairs of a bucket that aren't in one component yet: sets beside its most frequent component, with all others.
         labelled = labelled.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
@@ -337,10 +337,22 @@ class _Run:
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _used(cfg, F.abs(F.col("x.step") - F.col("y.step")), F.col("x.r"), F.col("x.band")))
         ends = [F.struct(F.col(f"{s}.n").alias("n"), F.col(f"{s}.h").alias("h")) for s in "xy"]
         pairs = pairs.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).where(fits("p.n", "q.n"))
-        rest = self.checked(pairs.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct())
+        pairs = pairs.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+        # What joins two crowds later keeps the lesser of their documents, so only these are looked at for holders.
+        silent = self.silent(label, chiefs(self.sets.join(label.withColumnRenamed("node", "h"), "h"))).select(F.col("h").alias("a"), F.lit(True).alias("silent"))
+        pairs = pairs.join(silent, "a", "left")
+        rest = self.checked(pairs.select("a", "b", "na", "nb", F.when(F.col("silent"), self.needed("nb")).otherwise(self.needed("na")).alias("least")))
         shelf.drop(labelled)
         return first.union(rest)
 
+    def needed(self, n: str) -> Column:
+        """Common shingles from which a set of n has the threshold in common."""
+        return F.ceil(F.lit(self.cfg.threshold) * F.col(n) - F.lit(1e-9)).cast("int")
+
+    def silent(self, label: DataFrame, chief: DataFrame) -> DataFrame:
+        """(h) of the sets of crowds of several that don't belong to the document that would stay."""
+        return self.shelf.keep(label.join(chief.select("label", F.col("h").alias("asks")), "label").where("node <> asks").select(F.col("node").alias("h")))
+
     def near(self, links: DataFrame) -> DataFrame:
         return links.where(F.col("both") >= F.lit(self.cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9))
 
@@ -352,7 +364,7 @@ class _Run:
         """
         shelf, cfg = self.shelf, self.cfg
         spark = shelf.spark
-        probes = shelf.keep(key_join(self.one.select("h", "n", "probes"), silent, ["h"], "left_anti").mapInArrow(_exploded, "e bigint, a bigint, na int"))
+        probes = shelf.keep(key_join(self.one.select("h", "n", "probes"), silent, ["h"], "left_anti").mapInArrow(_exploded, "e bigint, a bigint, na int, pos int"))
         bits = min(max(FILTER_LEAST, math.ceil(math.log2(FILTER_BITS * max(1, probes.count())))), FILTER_MOST)
         slot = F.explode(F.array(F.col("e"), F.shiftright("e", 11))).alias("s")
         slots = probes.select(slot).select(F.col("s").bitwiseAND((1 << bits) - 1).alias("s"))
@@ -366,21 +378,28 @@ class _Run:
         # Probes in one set alone, their own, are the rarest.
         seen = hits.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         asked = probes.join(seen, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        count, least = _needed(cfg)
+        count, least, all_of = _needed(cfg)
         asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("df", "e"))).where(F.col("place") <= count).where("df > 1")
         asked = asked.select("e", "a", "na", least.alias("least"))
         enough = asked.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("need")).where("n >= need").select("a")
         asked = shelf.keep(asked.join(enough, "a", "left_semi"))
-        few = F.broadcast(asked) if asked.count() <= FEW_ASKED else asked.hint("merge")
-        pairs = hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb")).join(few, "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
-        pairs = pairs.distinct().groupBy("a", "b", "na", "nb", "least").agg(F.count(F.lit(1)).alias("met"))  # a copy in another task hits again
-        pairs = shelf.keep(pairs.where("met >= least").select("a", "b", "na", "nb"))
-        shelf.drop(probes, hits, asked)
-        return self.exact(pairs)
-
-
-def _needed(cfg: Ensemble) -> tuple[Column, Column]:
-    """(probes, hits): a set of n shingles that is held at the threshold has so many of its rarest probes in the holder.
+        few = lambda df: F.broadcast(df) if df.count() <= FEW_ASKED else df.hint("merge")
+        held_by = hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb"))
+        pairs = held_by.join(few(asked), "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
+        pairs = pairs.distinct().groupBy("a", "b", "na", "least").agg(F.count(F.lit(1)).alias("met"))  # a copy in another task hits again
+        pairs = shelf.keep(pairs.where("met >= least").select("a", "b", "na"))
+        # All probes of the sets that are left, counted in their candidates: a set's hits lie together, so few rows are shuffled.
+        full = shelf.keep(probes.select("a", "e", "pos").join(pairs.select("a").distinct(), "a", "left_semi"))
+        met = held_by.join(few(pairs), "b").join(few(full), ["a", "e"]).groupBy("a", "b", "na", "nb").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, pos)"))).cast("int").alias("both"))
+        met = shelf.keep(met.where(F.col("both") >= all_of))
+        shelf.drop(probes, hits, asked, pairs, full)
+        # Where all shingles are probes, their count is the overlap.
+        rest = self.exact(shelf.keep(met.where(F.col("na") > PROBES).select("a", "b", "na", "nb", self.needed("na").alias("least"))))
+        return met.where(F.col("na") <= PROBES).union(rest)
+
+
+def _needed(cfg: Ensemble) -> tuple[Column, Column, Column]:
+    """(probes, hits, all hits): a set of n shingles that is held at the threshold has so many of its rarest probes in the holder, and so many of all.
 
     Exact where all n shingles are probes: no more than n less the least overlap can be missing. Of a larger set's PROBES
     a share of 1 - threshold is missing on average, and at the threshold more than are allowed for with a chance below 1 %.
@@ -388,7 +407,8 @@ def _needed(cfg: Ensemble) -> tuple[Column, Column]:
     need = F.ceil(F.lit(cfg.threshold) * F.col("na") - F.lit(1e-9))
     few = F.col("na") <= PROBES
     most = next(x for x in range(PROBES) if _tail(PROBES, 1 - cfg.threshold, x + 1) <= 0.01)
-    return F.when(few, F.col("na") - need + 1).otherwise(min(PROBES, most + 2)).cast("int"), F.when(few, 1).otherwise(2 if most + 2 <= PROBES else 1)
+    hits = 2 if most + 2 <= PROBES else 1
+    return F.when(few, F.col("na") - need + 1).otherwise(most + hits).cast("int"), F.when(few, 1).otherwise(hits), F.when(few, need).otherwise(max(1, PROBES - most)).cast("int")
 
 
 def _tail(n: int, p: float, k: int) -> float:
@@ -397,12 +417,13 @@ def _tail(n: int, p: float, k: int) -> float:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(e, a, na) for each probe of sets."""
+    """(e, a, na, pos) for each probe of sets."""
     for batch in batches:
         probes = batch.column(2).to_pylist()
         size = np.fromiter((len(x) // ELEMENT for x in probes), np.int64, len(probes))
         h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b"".join(probes)).view(np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size))], names=["e", "a", "na"])
+        pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b"".join(probes)).view(np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size)), pa.array(pos.astype(np.int32))], names=["e", "a", "na", "pos"])
 
 
 def _hits(cfg: Ensemble, clashes: Clashes, bits: int, words):
@@ -431,6 +452,11 @@ def _place(who: str) -> Column:
     return F.struct(c("id").isNull().alias("none"), num.isNull().alias("word"), num.alias("num"), c("id").alias("id"), c("k").alias("k"), c("len").alias("len"))
 
 
+def chiefs(known: DataFrame) -> DataFrame:
+    """(label, id, k, len, h, n) of the document that comes first in each crowd of known(label, id, k, len, h, n)."""
+    return known.groupBy("label").agg(F.min_by(F.struct("id", "k", "len", "h", "n"), _place("")).alias("c")).select("label", "c.*")
+
+
 def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document that is in a group, one of which stays: (id, k, len, keep_id, keep_k, keep_len, copies, stays).
 
@@ -461,9 +487,9 @@ def near_groups(docs: DataFrame, cfg: Ensemble = Ensemble(), id: str = "doc_id",
     links = run.alike(index)
     label = shelf.keep(components(shelf, run.near(links)))
     known = shelf.keep(sets.join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")))
-    chief = shelf.keep(known.groupBy("label").agg(F.min_by(F.struct("id", "k", "len", "h", "n"), _place("")).alias("c")).select("label", "c.*"))
+    chief = shelf.keep(chiefs(known))
     # Of a crowd of several sets only the one of the document that would stay asks for holders.
-    silent = shelf.keep(label.join(chief.select("label", F.col("h").alias("asks")), "label").where("node <> asks").select(F.col("node").alias("h")))
+    silent = run.silent(label, chief)
     held = links.where(F.col("both") < F.lit(cfg.threshold) * F.greatest("na", "nb") - F.lit(1e-9)).join(silent.withColumnRenamed("h", "a"), "a", "left_anti").union(run.excerpts(silent))
     shelf.drop(one)
 
