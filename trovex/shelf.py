@@ -31,7 +31,7 @@ def workers_find_us(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares. Where none is set: a temporary one for a local master, else the warehouse's."""
+    """A new folder below the one that the cluster shares. Where none is set, a local master uses a temporary one and a cluster raises."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="trovex-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/trovex-{uuid.uuid4().hex}"
 
