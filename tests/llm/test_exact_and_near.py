@@ -182,6 +182,36 @@ def test_query_and_pipeline_take_excerpts(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()] == [1]
 
 
+@pytest.mark.parametrize("turns", [0, 3])
+def test_crowds_that_meet_are_linked_by_a_few_pairs(spark, monkeypatch, turns):
+    """Two crowds of near copies, of two size classes: one link joins them, so not all pairs of their sets are compared. Without turns all are, to the same result."""
+    checked = []
+    exact = near_dedup._Run.exact
+
+    def counted(self, pairs):
+        checked.append(pairs.count())
+        return exact(self, pairs)
+
+    monkeypatch.setattr(near_dedup._Run, "exact", counted)
+    monkeypatch.setattr(near_dedup, "FEW_APART", 0, raising=False)
+    monkeypatch.setattr(near_dedup, "TURNS", turns, raising=False)
+    base = [f"m{i}" for i in range(203)]
+    rows = [(i, " ".join((base if i % 2 else base[:180]) + [f"own{i}"])) for i in range(120)]
+    got = grouped((r.id, r.keep_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert sorted(map(sorted, got)) == [list(range(120))]
+    assert sum(checked) < 1000 if turns else sum(checked) > 60 * 60
+
+
+def test_probes_are_counted_in_shingles():
+    rng = np.random.default_rng(4)
+    probes = [np.sort(rng.choice(1 << 40, k, replace=False).astype(np.uint64)) for k in (1, 32, 5, 3)]
+    es = [[*map(int, probes[0]), 7], list(map(int, probes[1][3:20])), [], list(map(int, probes[1]))]
+    packed = [near_dedup._packed(x).tobytes() for x in probes]
+    n = len(es)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([1] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array(es, pa.list_(pa.int64()))], names=list("abcdef"))
+    assert [x for b in near_dedup._met([batch.slice(1), batch.slice(0, 1)]) for x in b.column(4).to_pylist()] == [17, 0, 0, 1]
+
+
 def test_thousands_of_copies_are_one_group(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(f"v{i}" for i in range(80)) + " tail"), F.col("id").cast("string")).alias("text"))
     assert [r.doc_id for r in near_dedup.drop_near_copies(rows).collect()] == [0]

@@ -29,6 +29,8 @@ from trovex.llm.shared import Shelf, col, components, key_join
 WIDE = "id string, k bigint, len int, h bigint, alt bigint, n int, keys binary, bits binary, probes binary"
 #: Buckets of more sets are first linked by the hubs of their size classes alone: fewer pairs to check in groups of near copies. It changes cost, not results.
 HUB = 1
+#: So often at most are components that meet in buckets linked by a few pairs first, while more pairs of sets are left than FEW_APART. Both change cost, not results.
+TURNS, FEW_APART = 3, 100_000
 #: Shingles of a set that are looked up in larger ones.
 PROBES = 32
 #: The filter of shingles that are looked up has so many bits for each, within these bounds (64 MB); a fuller one lets more rows pass and loses none.
@@ -321,29 +323,59 @@ class _Run:
         ones where their document can't be the one that stays of its crowd.
         """
         shelf, cfg = self.shelf, self.cfg
-        fits = lambda a, b: F.col(b) <= F.lit(cfg.max_ratio + 1e-9) * F.col(a)
         # First only each large bucket's hubs are linked with their classes: that ties groups of many copies together in linear time.
         star = index.where("hub is not null and h <> hub.h").where(_used(cfg, F.lit(0), F.col("r"), F.col("band")))
         star = star.select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-        first = self.checked(star.withColumn("least", self.needed("na")))
-        label = shelf.keep(components(shelf, self.near(first)))
-        labelled = index.select("key", "h", "n", "band", "r", "step", "m").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-        # Then all pairs of a bucket that aren't in one component yet: sets beside its most frequent component, with all others.
-        labelled = labelled.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
-        labelled = labelled.withColumn("major", F.max(F.struct("own", "label")).over(Window.partitionBy("key"))).where("major.own < m")
-        labelled = shelf.keep(labelled.select("key", "h", "n", "band", "r", "step", "label", (F.col("label") != F.col("major.label")).alias("minor")))
+        links = self.checked(star.withColumn("least", self.needed("na")))
+        label = shelf.keep(components(shelf, self.near(links)))
+        labelled, apart = self.unlike(index, label)
+        # Crowds that meet in buckets and are near copies would give all pairs of their sets; a few pairs of each bucket join most of them before.
+        for turn in range(TURNS):
+            if apart <= FEW_APART:
+                break
+            found = self.checked(self.leaders(labelled, turn).withColumn("least", self.needed("na")))
+            links = links.union(found)
+            label, (before, was) = shelf.keep(components(shelf, self.near(links))), (labelled, apart)
+            labelled, apart = self.unlike(index, label)
+            shelf.drop(before)
+            if apart > 0.5 * was:
+                break
         shelf.drop(index)
+        # Then all pairs of a bucket that aren't in one component yet: sets beside its most frequent component, with all others.
         x, y = labelled.where("minor").alias("x"), labelled.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _used(cfg, F.abs(F.col("x.step") - F.col("y.step")), F.col("x.r"), F.col("x.band")))
-        ends = [F.struct(F.col(f"{s}.n").alias("n"), F.col(f"{s}.h").alias("h")) for s in "xy"]
-        pairs = pairs.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).where(fits("p.n", "q.n"))
-        pairs = pairs.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+        once = ~F.col("y.minor") | (F.col("x.h") < F.col("y.h"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _used(cfg, F.abs(F.col("x.step") - F.col("y.step")), F.col("x.r"), F.col("x.band")))
+        pairs = shelf.keep(self.ordered(pairs))
+        shelf.drop(labelled)
         # What joins two crowds later keeps the lesser of their documents, so only these are looked at for holders.
         silent = self.silent(label, chiefs(self.sets.join(label.withColumnRenamed("node", "h"), "h"))).select(F.col("h").alias("a"), F.lit(True).alias("silent"))
-        pairs = pairs.join(silent, "a", "left")
-        rest = self.checked(pairs.select("a", "b", "na", "nb", F.when(F.col("silent"), self.needed("nb")).otherwise(self.needed("na")).alias("least")))
-        shelf.drop(labelled)
-        return first.union(rest)
+        least = F.when(F.col("silent"), self.needed("nb")).otherwise(self.needed("na"))
+        rest = self.checked(pairs.join(silent, "a", "left").select("a", "b", "na", "nb", least.alias("least")))
+        shelf.drop(pairs)
+        return links.union(rest)
+
+    def unlike(self, index: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
+        """index with labels, of the buckets with sets of several components, and how many pairs of such sets there are at most; minor: not of the most frequent."""
+        out = index.select("key", "h", "n", "band", "r", "step", "m").join(label.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+        out = out.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+        out = out.withColumn("major", F.max(F.struct("own", "label")).over(Window.partitionBy("key"))).where("major.own < m")
+        out = self.shelf.keep(out.select("key", "h", "n", "band", "r", "step", "label", (F.col("label") != F.col("major.label")).alias("minor"), (F.col("m") - F.col("own")).alias("others")))
+        return out, out.agg(F.sum("others")).first()[0] or 0
+
+    def leaders(self, labelled: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b, na, nb) of a bucket's components, as many as it has: one set of each by chance, with those of the next in order of size and of the most frequent."""
+        cfg = self.cfg
+        one = labelled.groupBy("key", "label").agg(F.min_by(F.struct("h", "n", "step", "band", "r", "minor"), F.xxhash64("h", "key", F.lit(turn))).alias("c"), F.count(F.lit(1)).alias("own")).select("key", "label", "c.*", "own")
+        by = Window.partitionBy("key")
+        one = one.withColumn("next", F.lead(F.struct("h", "n", "step")).over(by.orderBy("n", "h"))).withColumn("main", F.max(F.when(~F.col("minor"), F.struct("h", "n", "step"))).over(by))
+        both = one.select("h", "n", "step", "band", "r", F.explode(F.array("next", "main")).alias("o")).where("o.h <> h").where(_used(cfg, F.abs(F.col("step") - F.col("o.step")), F.col("r"), F.col("band")))
+        return self.ordered(both.select(F.struct("n", "h").alias("x"), F.struct("o.n", "o.h").alias("y")))
+
+    def ordered(self, pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b, na, nb) of pairs of sets x(n, h) and y(n, h) whose sizes MinHash compares, the smaller first."""
+        ends = [F.struct(F.col(f"{s}.n").alias("n"), F.col(f"{s}.h").alias("h")) for s in "xy"]
+        pairs = pairs.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).where(F.col("q.n") <= F.lit(self.cfg.max_ratio + 1e-9) * F.col("p.n"))
+        return pairs.select(F.col("p.h").alias("a"), F.col("q.h").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
     def needed(self, n: str) -> Column:
         """Common shingles from which a set of n has the threshold in common."""
@@ -386,13 +418,16 @@ class _Run:
         few = lambda df: F.broadcast(df) if df.count() <= FEW_ASKED else df.hint("merge")
         held_by = hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb"))
         pairs = held_by.join(few(asked), "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
-        pairs = pairs.distinct().groupBy("a", "b", "na", "least").agg(F.count(F.lit(1)).alias("met"))  # a copy in another task hits again
+        # One shuffle for both: a copy in another task hits again, and what a pair has in common is counted.
+        pairs = pairs.repartition("a", "b").distinct().groupBy("a", "b", "na", "least").agg(F.count(F.lit(1)).alias("met"))
         pairs = shelf.keep(pairs.where("met >= least").select("a", "b", "na"))
-        # All probes of the sets that are left, counted in their candidates: a set's hits lie together, so few rows are shuffled.
-        full = shelf.keep(probes.select("a", "e", "pos").join(pairs.select("a").distinct(), "a", "left_semi"))
-        met = held_by.join(few(pairs), "b").join(few(full), ["a", "e"]).groupBy("a", "b", "na", "nb").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, pos)"))).cast("int").alias("both"))
+        # All probes of the sets that are left, counted in their candidates. Both are a row for a set, as a row for each shingle and pair would be many times the pairs.
+        sought = shelf.keep(self.one.select(F.col("h").alias("a"), "n", "probes").join(pairs.select("a").distinct(), "a", "left_semi"))
+        met_by = key_join(held_by, sought.select("a", "n", "probes").mapInArrow(_exploded, "e bigint, a bigint, na int, pos int").select("e").distinct(), ["e"], "left_semi")
+        met_by = shelf.keep(met_by.groupBy("b", "nb").agg(F.collect_set("e").alias("es")))
+        met = pairs.join(sought.select("a", "probes"), "a").join(met_by, "b").select("a", "b", "na", "nb", "probes", "es").mapInArrow(_met, "a bigint, b bigint, na int, nb int, both int")
         met = shelf.keep(met.where(F.col("both") >= all_of))
-        shelf.drop(probes, hits, asked, pairs, full)
+        shelf.drop(probes, hits, asked, pairs, sought, met_by)
         # Where all shingles are probes, their count is the overlap.
         rest = self.exact(shelf.keep(met.where(F.col("na") > PROBES).select("a", "b", "na", "nb", self.needed("na").alias("least"))))
         return met.where(F.col("na") <= PROBES).union(rest)
@@ -426,6 +461,17 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_unpacked(b"".join(probes)).view(np.int64)), pa.array(np.repeat(h, size)), pa.array(np.repeat(n, size)), pa.array(pos.astype(np.int32))], names=["e", "a", "na", "pos"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a set's probes are among the distinct shingles es of another."""
+    for batch in batches:
+        probes, es = batch.column(4).to_pylist(), batch.column(5)
+        row = np.arange(batch.num_rows, dtype=np.uint64) << K.U64(40)  # shingles have 40 bits
+        mine = np.repeat(row, [len(x) // ELEMENT for x in probes]) | _unpacked(b"".join(probes))
+        theirs = np.repeat(row, pc.list_value_length(es).to_numpy(zero_copy_only=False)) | es.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        both = np.bincount((mine[np.isin(mine, theirs)] >> K.U64(40)).astype(np.int64), minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(both.astype(np.int32))], names=["a", "b", "na", "nb", "both"])
+
+
 def _hits(cfg: Ensemble, clashes: Clashes, bits: int, words):
     """(e, h, n) for each shingle of texts that the filter lets pass; copies within a run of texts count once."""
     mask = K.U64((1 << bits) - 1)
