@@ -202,6 +202,17 @@ def test_crowds_that_meet_are_linked_by_a_few_pairs(spark, monkeypatch, turns):
     assert sum(checked) < 1000 if turns else sum(checked) > 60 * 60
 
 
+def test_pipeline_compares_few_pairs_of_crowds_that_meet(spark, monkeypatch, tmp_path):
+    checked = []
+    exact = near_dedup._Run.exact
+    monkeypatch.setattr(near_dedup._Run, "exact", lambda self, pairs: (checked.append(pairs.count()), exact(self, pairs))[1])
+    monkeypatch.setattr(near_dedup, "FEW_APART", 0, raising=False)
+    base = [f"p{i}" for i in range(203)]
+    rows = [(i, " ".join((base if i % 2 else base[:180]) + [f"own{i}"])) for i in range(120)]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path))
+    assert [r.doc_id for r in out.collect()] == [0] and sum(checked) < 1000
+
+
 def test_probes_are_counted_in_shingles():
     rng = np.random.default_rng(4)
     probes = [np.sort(rng.choice(1 << 40, k, replace=False).astype(np.uint64)) for k in (1, 32, 5, 3)]
