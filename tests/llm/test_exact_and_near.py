@@ -213,6 +213,28 @@ def test_pipeline_compares_few_pairs_of_crowds_that_meet(spark, monkeypatch, tmp
     assert [r.doc_id for r in out.collect()] == [0] and sum(checked) < 1000
 
 
+def test_pairs_are_counted_in_slices(spark, monkeypatch):
+    """Near dedup of op6_near_dedup and pipeline: all 780 pairs of 40 sets, of which not all are counted at once."""
+    written = []
+    keep = near_dedup.Shelf.keep
+
+    def counted(self, *tables):
+        written.extend(t.count() for t in tables if not isinstance(t, str) and "both" in t.columns)
+        return keep(self, *tables)
+
+    monkeypatch.setattr(near_dedup.Shelf, "keep", counted)
+    monkeypatch.setattr(near_dedup, "SLICE", 300_000, raising=False)
+    cfg, shelf = near_dedup.Ensemble(), near_dedup.Shelf(spark)
+    texts = [" ".join([f"s{i}" for i in range(203)] + [f"own{i}"]) for i in range(40)]
+    rows = spark.createDataFrame([(str(i), i, t, len(t)) for i, t in enumerate(texts)], "id string, k bigint, t string, len int")
+    sets = shelf.keep(rows.mapInArrow(near_dedup._sets(cfg), near_dedup.WIDE))
+    x, y = sets.select(F.col("h").alias("a"), F.col("n").alias("na")), sets.select(F.col("h").alias("b"), F.col("n").alias("nb"))
+    pairs = x.join(y, F.col("a") < F.col("b")).select("a", "b", "na", "nb", F.lit(1).alias("least"))
+    got = near_dedup._Run(shelf, rows, sets, sets, near_dedup.NO_CLASH, cfg).checked(pairs).collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) == 780 and {r.both for r in got} == {200}
+    assert sum(written) == 780 and max(written) < 500
+
+
 def test_probes_are_counted_in_shingles():
     rng = np.random.default_rng(4)
     probes = [np.sort(rng.choice(1 << 40, k, replace=False).astype(np.uint64)) for k in (1, 32, 5, 3)]

@@ -14,7 +14,7 @@ set can't do without. Sets of up to PROBES shingles are found without exception,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +31,10 @@ WIDE = "id string, k bigint, len int, h bigint, alt bigint, n int, keys binary,
 HUB = 1
 #: So often at most are components that meet in buckets linked by a few pairs first, while more pairs of sets are left than FEW_APART. Both change cost, not results.
 TURNS, FEW_APART = 3, 100_000
+#: Bytes of pairs, with the sets that go with them, that are shuffled at once; more are done in slices, one after another. It changes disk and cost, not results.
+SLICE = 1 << 30
+#: Bytes of a pair's row in a shuffle, beside what goes with it, and of a shingle's row.
+PAIR, HIT = 60, 24
 #: Shingles of a set that are looked up in larger ones.
 PROBES = 32
 #: The filter of shingles that are looked up has so many bits for each, within these bounds (64 MB); a fuller one lets more rows pass and loses none.
@@ -287,17 +291,49 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(both, pa.int32())], names=["a", "b", "na", "nb", "least", "both"])
 
 
+def _slices(pairs: DataFrame, total: int, most: int) -> list[DataFrame]:
+    """pairs(a, b, ...) of total bytes by chance in parts of about most bytes; a pair is in one part with all its rows."""
+    k = math.ceil(total / most)
+    return [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(k)) == i) for i in range(k)] if k > 1 else [pairs]
+
+
+def _in_order(tables: Iterable[DataFrame]) -> tuple:
+    """The arguments with which Shelf.keep writes tables one after another."""
+    first, *more = tables
+    return first, "lz4", *more
+
+
 class _Run:
     """What the steps of one search share: the texts, their sets, and the tables kept."""
 
     def __init__(self, shelf: Shelf, rows: DataFrame, sets: DataFrame, one: DataFrame, clashes: Clashes, cfg: Ensemble):
         self.shelf, self.rows, self.sets, self.one, self.clashes, self.cfg = shelf, rows, sets, one, clashes, cfg
 
-    def checked(self, pairs: DataFrame) -> DataFrame:
-        """exact for candidates (a, b, na, nb, least), once the pairs that the bitmaps rule out are gone."""
+    def sliced(self, pairs: DataFrame, width: Column, step: Callable[[DataFrame], DataFrame], beside: Callable[[], int] = lambda: 0) -> DataFrame:
+        """step of the kept pairs(a, b, ...), as a table. width: bytes of a pair in step's widest shuffle.
+
+        Pairs of texts that have much in common without being near copies grow as the square of the input, and a set
+        goes with each. So pairs of more than SLICE bytes, or than the sets that lie beside them take, are done in slices.
+        """
+        total = pairs.agg(F.sum(width.cast("long"))).first()[0] or 0
+        return self.shelf.keep(*_in_order(map(step, _slices(pairs, total, SLICE if total <= SLICE else max(SLICE, beside())))))
+
+    def checked(self, pairs: DataFrame, silent: DataFrame | None = None) -> DataFrame:
+        """exact for candidates (a, b, na, nb), once the pairs that the bitmaps rule out are gone. Sets in silent(a, silent) only look for near copies."""
+        pairs = self.shelf.keep(pairs)
         bits = self.one.select("h", "bits")
-        pairs = pairs.join(bits.select(F.col("h").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("h").alias("b"), F.col("bits").alias("bb")), "b")
-        return self.exact(self.shelf.keep(pairs.select("a", "b", "na", "nb", "least", "ba", "bb").mapInArrow(_bounded, "a bigint, b bigint, na int, nb int, least int")))
+
+        def bounded(part: DataFrame) -> DataFrame:
+            least = self.needed("na")
+            if silent is not None:
+                part, least = part.join(silent, "a", "left"), F.when(F.col("silent"), self.needed("nb")).otherwise(least)
+            part = part.withColumn("least", least)
+            part = part.join(bits.select(F.col("h").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("h").alias("b"), F.col("bits").alias("bb")), "b")
+            return part.select("a", "b", "na", "nb", "least", "ba", "bb").mapInArrow(_bounded, "a bigint, b bigint, na int, nb int, least int")
+
+        left = self.sliced(pairs, PAIR + F.greatest(F.lit(8), F.col("na") / 2), bounded)
+        self.shelf.drop(pairs)
+        return self.exact(left)
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """Of the kept candidates (a, b, na, nb, least) those with at least so many common shingles: (a, b, na, nb, both). pairs is dropped.
@@ -310,9 +346,13 @@ class _Run:
         texts = shelf.keep(self.sets.join(needed, "h", "left_semi").groupBy("h").agg(F.min("k").alias("k")).select("k").distinct())
         elems = key_join(self.rows.select("t", "k"), texts, ["k"], "left_semi").select("t").mapInArrow(_elements(self.cfg, self.clashes), "h bigint, elems binary")
         elems = shelf.keep(elems.groupBy("h").agg(F.first("elems").alias("elems")), "none")
-        joined = pairs.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
-        both = joined.select("a", "b", "na", "nb", "least", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, least int, both int")
-        out = shelf.keep(both.where("both >= least").drop("least"))
+
+        def counted(part: DataFrame) -> DataFrame:
+            joined = part.join(elems.select(F.col("h").alias("a"), F.col("elems").alias("ea")), "a").join(elems.select(F.col("h").alias("b"), F.col("elems").alias("eb")), "b")
+            both = joined.select("a", "b", "na", "nb", "least", "ea", "eb").mapInArrow(_overlaps, "a bigint, b bigint, na int, nb int, least int, both int")
+            return both.where("both >= least").drop("least")
+
+        out = self.sliced(pairs, PAIR + ELEMENT * F.col("na"), counted, lambda: elems.agg(F.sum(F.octet_length("elems"))).first()[0] or 0)
         shelf.drop(elems, texts, pairs)
         return out
 
@@ -326,14 +366,14 @@ class _Run:
         # First only each large bucket's hubs are linked with their classes: that ties groups of many copies together in linear time.
         star = index.where("hub is not null and h <> hub.h").where(_used(cfg, F.lit(0), F.col("r"), F.col("band")))
         star = star.select(F.col("hub.h").alias("a"), F.col("h").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-        links = self.checked(star.withColumn("least", self.needed("na")))
+        links = self.checked(star)
         label = shelf.keep(components(shelf, self.near(links)))
         labelled, apart = self.unlike(index, label)
         # Crowds that meet in buckets and are near copies would give all pairs of their sets; a few pairs of each bucket join most of them before.
         for turn in range(TURNS):
             if apart <= FEW_APART:
                 break
-            found = self.checked(self.leaders(labelled, turn).withColumn("least", self.needed("na")))
+            found = self.checked(self.leaders(labelled, turn))
             links = links.union(found)
             label, (before, was) = shelf.keep(components(shelf, self.near(links))), (labelled, apart)
             labelled, apart = self.unlike(index, label)
@@ -345,14 +385,11 @@ class _Run:
         x, y = labelled.where("minor").alias("x"), labelled.alias("y")
         once = ~F.col("y.minor") | (F.col("x.h") < F.col("y.h"))
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _used(cfg, F.abs(F.col("x.step") - F.col("y.step")), F.col("x.r"), F.col("x.band")))
-        pairs = shelf.keep(self.ordered(pairs))
+        pairs = shelf.keep(*_in_order(_slices(self.ordered(pairs), apart // 2 * PAIR, SLICE)))
         shelf.drop(labelled)
         # What joins two crowds later keeps the lesser of their documents, so only these are looked at for holders.
         silent = self.silent(label, chiefs(self.sets.join(label.withColumnRenamed("node", "h"), "h"))).select(F.col("h").alias("a"), F.lit(True).alias("silent"))
-        least = F.when(F.col("silent"), self.needed("nb")).otherwise(self.needed("na"))
-        rest = self.checked(pairs.join(silent, "a", "left").select("a", "b", "na", "nb", least.alias("least")))
-        shelf.drop(pairs)
-        return links.union(rest)
+        return links.union(self.checked(pairs, silent))
 
     def unlike(self, index: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
         """index with labels, of the buckets with sets of several components, and how many pairs of such sets there are at most; minor: not of the most frequent."""
@@ -412,21 +449,30 @@ class _Run:
         asked = probes.join(seen, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
         count, least, all_of = _needed(cfg)
         asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("df", "e"))).where(F.col("place") <= count).where("df > 1")
-        asked = asked.select("e", "a", "na", least.alias("least"))
+        asked = asked.select("e", "a", "na", least.alias("least"), "df")
         enough = asked.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("need")).where("n >= need").select("a")
         asked = shelf.keep(asked.join(enough, "a", "left_semi"))
         few = lambda df: F.broadcast(df) if df.count() <= FEW_ASKED else df.hint("merge")
         held_by = hits.select("e", F.col("h").alias("b"), F.col("n").alias("nb"))
-        pairs = held_by.join(few(asked), "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
-        # One shuffle for both: a copy in another task hits again, and what a pair has in common is counted.
-        pairs = pairs.repartition("a", "b").distinct().groupBy("a", "b", "na", "least").agg(F.count(F.lit(1)).alias("met"))
-        pairs = shelf.keep(pairs.where("met >= least").select("a", "b", "na"))
+        meet = held_by.join(few(asked.drop("df")), "e").where(F.col("nb") > F.lit(cfg.max_ratio + 1e-9) * F.col("na"))
+
+        def counted(part: DataFrame) -> DataFrame:
+            # One shuffle for both: a copy in another task hits again, and what a pair has in common is counted.
+            part = part.repartition("a", "b").distinct().groupBy("a", "b", "na", "least").agg(F.count(F.lit(1)).alias("met"))
+            return part.where("met >= least").select("a", "b", "na")
+
+        total = PAIR * (asked.agg(F.sum("df")).first()[0] or 0)
+        pairs = shelf.keep(*_in_order(map(counted, _slices(meet, total, SLICE if total <= SLICE else max(SLICE, HIT * hits.count())))))
         # All probes of the sets that are left, counted in their candidates. Both are a row for a set, as a row for each shingle and pair would be many times the pairs.
         sought = shelf.keep(self.one.select(F.col("h").alias("a"), "n", "probes").join(pairs.select("a").distinct(), "a", "left_semi"))
         met_by = key_join(held_by, sought.select("a", "n", "probes").mapInArrow(_exploded, "e bigint, a bigint, na int, pos int").select("e").distinct(), ["e"], "left_semi")
         met_by = shelf.keep(met_by.groupBy("b", "nb").agg(F.collect_set("e").alias("es")))
-        met = pairs.join(sought.select("a", "probes"), "a").join(met_by, "b").select("a", "b", "na", "nb", "probes", "es").mapInArrow(_met, "a bigint, b bigint, na int, nb int, both int")
-        met = shelf.keep(met.where(F.col("both") >= all_of))
+
+        def met_of(part: DataFrame) -> DataFrame:
+            part = part.join(sought.select("a", "probes"), "a").join(met_by, "b").select("a", "b", "na", "nb", "probes", "es")
+            return part.mapInArrow(_met, "a bigint, b bigint, na int, nb int, both int").where(F.col("both") >= all_of)
+
+        met = self.sliced(pairs, PAIR + ELEMENT * F.least("na", F.lit(PROBES)), met_of)
         shelf.drop(probes, hits, asked, pairs, sought, met_by)
         # Where all shingles are probes, their count is the overlap.
         rest = self.exact(shelf.keep(met.where(F.col("na") > PROBES).select("a", "b", "na", "nb", self.needed("na").alias("least"))))

@@ -50,13 +50,15 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_dir(spark), 0
 
-    def keep(self, df: DataFrame, codec: str = "lz4") -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "lz4", *more: DataFrame) -> DataFrame:
+        """df as a table, and more after it, written one after another so that each one's shuffle files go before the next begins."""
         self.n += 1
         path = f"{self.base}/{self.n}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")  # once the table is there, nobody reads its shuffle files
         try:
-            df.write.option("compression", codec).parquet(path)
+            for part in (df, *more):
+                part.write.option("compression", codec).mode("append").parquet(path)
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
