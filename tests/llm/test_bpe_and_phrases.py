@@ -1,3 +1,6 @@
+import sys
+import tracemalloc
+
 import numpy as np
 import pytest
 import tiktoken
@@ -27,6 +30,20 @@ def test_short_and_long_pieces(other, word):
     assert b.decode(np.array(b.piece(word.encode()))) == word.encode()
 
 
+def test_a_long_text_of_many_pieces_takes_little_memory(other):
+    text = " ".join(map(str, range(10_000_000, 10_250_000)))
+    b = bpe.Bpe()
+    ids = np.frombuffer(b.encode(text), "<i4")
+    assert ids.tolist() == other.encode_ordinary(text)
+    assert sum(sys.getsizeof(x) for c in (b.cache, b.older) for pair in c.items() for x in pair) <= 16 << 20
+    tracemalloc.start()
+    back = b.decode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == text.encode() and peak < 6 * len(text)
+    assert b.decode(ids[:0]) == b""
+
+
 def test_bpe_on_messy_rows(messy, none, other):
     rows = bpe.encode_documents(messy).collect()
     key = lambda x: (str(x[0]), str(x[1])[:100])

@@ -267,6 +267,19 @@ def test_long_text_is_compared_whole(spark):
     assert near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 2
 
 
+def test_tables_of_the_driver_start_no_python_workers(spark):
+    class Bare:
+        def __init__(self):
+            self.spark = spark
+
+        def keep(self, df):
+            return df
+
+    label = shared._joined(Bare(), spark.createDataFrame([(1, 2), (3, 2), (7, 8)], "a bigint, b bigint"))
+    assert {tuple(r) for r in label.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert "ExistingRDD" not in label._jdf.queryExecution().toString()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5000, 1001)]
     out = components(Shelf(spark), spark.createDataFrame(chain, "a bigint, b bigint"))

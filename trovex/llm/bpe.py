@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,12 @@ from trovex.llm.shared import col
 
 #: Pieces of more bytes go to the heap.
 SHORT = 200
-#: Encoded pieces of one generation of a worker's cache; there are two, and the older one goes when the newer is full.
-CACHE = 200_000
+#: Bytes of one generation of a worker's cache of encoded pieces; there are two, and the older one goes when the newer is full.
+CACHE_BYTES = 8 << 20
+#: Bytes of an entry in a dictionary, beside its key and value.
+ENTRY = 48
+#: Pieces, or tokens, of a text that are worked on at once.
+AT_ONCE = 1 << 16
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = 1 << 40
@@ -37,9 +43,10 @@ class Bpe:
     def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             tokens[r] = t
@@ -97,30 +104,44 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian 32-bit integers in a row."""
-        pieces = self.split(text)
+        if len(text) <= AT_ONCE:
+            return self.joined(self.pattern.findall(text))
+        return b"".join(self.joined(x) for x in batched((m.group() for m in self.pattern.finditer(text)), AT_ONCE))
+
+    def joined(self, pieces: list[str] | tuple[str, ...]) -> bytes:
+        """Token ids of pieces in a row."""
         out = list(map(self.cache.get, pieces))
         if None in out:
-            if len(self.cache) > CACHE:
-                self.cache, self.older = {}, self.cache
-            cache, older = self.cache, self.older
             for i, x in enumerate(out):
                 if x is None:
                     p = pieces[i]
-                    x = cache.get(p) or older.get(p)
+                    x = self.cache.get(p)
                     if x is None:
-                        ids = self.piece(p.encode())
-                        x = struct.pack(f"<{len(ids)}i", *ids)
-                    if len(p) < SHORT:
-                        cache[p] = x
+                        x = self.older.get(p)
+                        if x is None:
+                            ids = self.piece(p.encode())
+                            x = struct.pack(f"<{len(ids)}i", *ids)
+                        if len(p) < SHORT:
+                            self.remember(p, x)
                     out[i] = x
         return b"".join(out)
 
+    def remember(self, piece: str, ids: bytes) -> None:
+        """Add to the cache, which never has more than two generations of CACHE_BYTES, however long a text is."""
+        size = sys.getsizeof(piece) + sys.getsizeof(ids) + ENTRY
+        if size > self.room:
+            self.cache, self.older, self.room = {}, self.cache, CACHE_BYTES
+        self.cache[piece] = ids
+        self.room -= size
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a row of token ids."""
+        return b"".join(self.gathered(ids[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE))
+
+    def gathered(self, ids: np.ndarray) -> bytes:
         size = self.lengths[ids]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.blob[np.repeat(self.begins[ids] - ends + size, size) + np.arange(total)].tobytes()
+        return self.blob[np.repeat(self.begins[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(4)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovex.llm import kernel as K
-from trovex.llm.shared import Shelf, col, components, key_join
+from trovex.llm.shared import Shelf, col, components, key_join, numbers
 
 WIDE = "id string, k bigint, len int, h bigint, alt bigint, n int, keys binary, bits binary, probes binary"
 #: Buckets of more sets are first linked by the hubs of their size classes alone: fewer pairs to check in groups of near copies. It changes cost, not results.
@@ -201,7 +201,7 @@ def _told_apart(wide: DataFrame, clashes: Clashes) -> DataFrame:
     """wide with hashes as _shingled gives them once the clashes are known, without alt."""
     if not len(clashes[0]):
         return wide.drop("alt")
-    table = wide.sparkSession.createDataFrame(list(zip(clashes[0].tolist(), clashes[1].tolist())), "h bigint, lo bigint")
+    table = numbers(wide.sparkSession, h=clashes[0], lo=clashes[1])
     joined = wide.join(F.broadcast(table), "h", "left")  # CLASHES rows at most
     return joined.withColumn("h", F.when(F.col("lo") != F.col("alt"), F.col("alt")).otherwise(F.col("h"))).select(*[c for c in wide.columns if c != "alt"])
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovex.shelf import Shelf, workers_find_us
 
-__all__ = ["BROADCAST_KEYS", "Shelf", "col", "components", "fresh", "key_join", "workers_find_us"]
+__all__ = ["BROADCAST_KEYS", "Shelf", "col", "components", "fresh", "key_join", "numbers", "workers_find_us"]
 
 #: Keys up to this number (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
@@ -32,6 +34,11 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def numbers(spark: SparkSession, **columns: np.ndarray | list[int]) -> DataFrame:
+    """A table of the driver's 64-bit integers. It goes to the JVM as Arrow: of a list of rows, Python workers with a daemon of their own would be started on the executors and stay."""
+    return spark.createDataFrame(pa.table({name: pa.array(x, pa.int64()) for name, x in columns.items()}))
+
+
 def key_join(big: DataFrame, keys: DataFrame, on: list[str], how: str, n: int | None = None) -> DataFrame:
     """Semi or anti join with a table of keys: broadcast if they are few by count, else by shuffle."""
     n = keys.count() if n is None else n
@@ -51,7 +58,8 @@ def _joined(shelf: Shelf, edges: DataFrame) -> DataFrame:
     for a, b in edges.collect():  # DRIVER_EDGES rows at most
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    return shelf.keep(shelf.spark.createDataFrame([(x, root(x)) for x in up], "node bigint, label bigint"))
+    nodes = list(up)
+    return shelf.keep(numbers(shelf.spark, node=nodes, label=[root(x) for x in nodes]))
 
 
 def components(shelf: Shelf, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
