@@ -86,6 +86,24 @@ def test_postings_score_as_whole_texts(spark):
     assert a == b and len(a) == 3
 
 
+def plans_exchange(df):
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_made_within_rows_and_over_repeated_ids(spark, monkeypatch):
+    rows = [(1, "bb aa bb cc-bb a"), (2, ""), (3, None), (4, "aa " * 3000 + "zz"), (5, "- .")]
+    docs = lambda more: spark.createDataFrame(rows + more, "id bigint, text string")
+    got = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    once = [(1, "aa", 1), (1, "bb", 3), (1, "cc", 1), (4, "aa", 3000), (4, "zz", 1)]
+    found = search.term_counts(docs([]), F.col("text"))
+    assert got(found) == once and not plans_exchange(found)
+    more = [(4, "aa yy"), (5, "aa"), (None, "aa bb"), (None, "aa")]
+    want = sorted([(1, "aa", 1), (1, "bb", 3), (1, "cc", 1), (4, "aa", 3001), (4, "yy", 1), (4, "zz", 1), (5, "aa", 1), (None, "aa", 2), (None, "bb", 1)], key=repr)
+    for many in (search.MANY, 1):
+        monkeypatch.setattr(search, "MANY", many)
+        assert got(search.term_counts(docs(more), F.col("text"))) == want
+
+
 def greedy(items, budget):
     used, out = 0, []
     for s, i, t in sorted(items, key=lambda x: (-x[0], x[1])):

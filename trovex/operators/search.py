@@ -8,9 +8,13 @@ index of postings, partitioned by term, takes the tokenizing away.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from trovex.functions import fuzzy as fz
 from trovex.functions import text as tx
@@ -22,6 +26,10 @@ RRF_K, W_BM25, W_FUZZY = 60, 1.0, 0.5
 BUCKETS = 256
 #: Rows of (id, score) that are ranked in one task.
 ONE_TASK = 100_000
+#: Repeated ids up to this number are broadcast.
+MANY = 100_000
+#: Rows of an Arrow batch that counting gives back.
+OUT_ROWS = 50_000
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -56,6 +64,41 @@ def bm25(docs: DataFrame, query: str, text: Column, id: str = "id") -> DataFrame
     return counted.where(hit).crossJoin(F.broadcast(stats)).select(id, score.alias("score")).where("score > 0")
 
 
+def counted(docs: DataFrame, text: Column, *kept: str | Column) -> DataFrame:
+    """(*kept, len, term, tf): the terms of each row of docs with their counts, made within the row and so without a shuffle; len counts repeats too."""
+    workers_find_us(docs.sparkSession)
+    toks = docs.select(*kept, tx.tokens(text).alias("_toks"))
+    names = toks.drop("_toks").schema
+    return toks.mapInArrow(_counts, StructType([*names, StructField("len", IntegerType()), StructField("term", StringType()), StructField("tf", IntegerType())]))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toks, kept = batch.column(batch.num_columns - 1), batch.columns[:-1]
+        lens = np.diff(toks.offsets.to_numpy())
+        terms = toks.flatten().dictionary_encode()
+        many = max(1, len(terms.dictionary))
+        keys, tf = np.unique(np.repeat(np.arange(len(lens)), lens) * many + terms.indices.to_numpy(), return_counts=True)
+        for at in range(0, len(keys), OUT_ROWS):
+            row, term = np.divmod(keys[at : at + OUT_ROWS], many)
+            cols = [*[c.take(pa.array(row)) for c in kept], pa.array(lens[row], pa.int32()), terms.dictionary.take(pa.array(term)), pa.array(tf[at : at + OUT_ROWS], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "len", "term", "tf"])
+
+
+def term_counts(docs: DataFrame, text: Column, id: str = "id") -> DataFrame:
+    """(id, term, tf) over all rows of an id. Only ids that are repeated are shuffled with their counts, or all if those are more than MANY."""
+    at, again = F.col(id), Shelf(docs.sparkSession).keep(docs.groupBy(F.col(id).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"))
+    each = lambda some: counted(some, text, at).select(id, "term", "tf")
+    whole = lambda some: each(some).groupBy(id, "term").agg(F.sum("tf").cast("int").alias("tf"))
+    repeated = again.count()
+    if not repeated:
+        return each(docs)
+    if repeated > MANY:
+        return whole(docs)
+    same = at.eqNullSafe(F.col("_id"))
+    return each(docs.join(F.broadcast(again), same, "left_anti")).union(whole(docs.join(F.broadcast(again), same, "left_semi")))  # MANY rows
+
+
 def postings(docs: DataFrame, text: Column, id: str = "id") -> DataFrame:
     """(bucket, term, id, tf, len): write it partitioned by bucket, so that a query reads its terms' buckets alone."""
     toks = docs.select(F.col(id).alias("id"), tx.tokens(text).alias("toks")).withColumn("len", F.size("toks"))

@@ -110,7 +110,7 @@ def doc_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, term, count(*)::INT AS tf FROM (SELECT doc_id, unnest({tx.tokens_sql('text')}) AS term FROM documents) GROUP BY ALL")
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select(F.col("id").alias("doc_id"), "term", "tf")
+    return search.term_counts(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 @query(f"""WITH hits AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), '{NEEDLE}', ''))) // {len(NEEDLE)} AS n FROM documents)
