@@ -50,6 +50,22 @@ def test_whole_pagerank_takes_all_edges_to_the_tolerance(spark, tmp_path):
     assert [r.id for r in best] == sorted(want, key=lambda k: (-round(want[k], 9), k)) and all(r.score == got[r.id] for r in best)
 
 
+@pytest.mark.parametrize("block", [1, 3, graph.BLOCK])
+def test_pagerank_by_blocks_shuffles_no_link_in_a_round(spark, tmp_path, monkeypatch, block):
+    made = []
+    keep = graph.Shelf.keep
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph.Shelf, "keep", lambda self, df, *more, **how: made.append((df._jdf.queryExecution().optimizedPlan().toString(), how)) or keep(self, df, *more, **how))
+    pairs = [(i, (i * i + 3 * k) % 41) for i in range(40) if i % 7 for k in range(1 + i % 9)] + [(3, 5)] * 4 + [(5, None), (None, 5)]
+    df = spark.createDataFrame([(i,) for i in range(40)], "id bigint")
+    got = {r.id: r["rank"] for r in graph.pagerank(df, spark.createDataFrame(pairs, "src_id bigint, dst_id bigint")).collect()}
+    want = brute(list(range(40)), pairs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # a round reads links where they lie: the only joins are those of a row per node
+    rounds = [plan for plan, how in made if how][1:]
+    assert len(rounds) > 3 and all("MapInArrow" in plan and not any("Join" in line and "src" in line for line in plan.splitlines()) for plan in rounds)
+
+
 def test_pagerank_of_nothing(spark):
     assert graph.pagerank(nodes(spark, ""), edges(spark, [])).count() == 0
 

@@ -50,19 +50,25 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_dir(spark), 0
 
-    def keep(self, df: DataFrame, codec: str = "lz4", *more: DataFrame) -> DataFrame:
-        """df as a table, and more after it, written one after another so that each one's shuffle files go before the next begins."""
+    def keep(self, df: DataFrame, codec: str = "lz4", *more: DataFrame, by: str | None = None) -> DataFrame:
+        """df as a table, and more after it, written one after another so that each one's shuffle files go before the next begins. by: a folder for each value of this column."""
         self.n += 1
         path = f"{self.base}/{self.n}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")  # once the table is there, nobody reads its shuffle files
         try:
             for part in (df, *more):
-                part.write.option("compression", codec).mode("append").parquet(path)
+                part.write.option("compression", codec).mode("append").partitionBy(*[by] * bool(by)).parquet(path)
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @property
+    def last(self) -> str:
+        """The full address of the table that was kept last."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{self.n}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
