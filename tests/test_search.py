@@ -97,6 +97,8 @@ def test_counts_are_made_within_rows_and_over_repeated_ids(spark, monkeypatch):
     once = [(1, "aa", 1), (1, "bb", 3), (1, "cc", 1), (4, "aa", 3000), (4, "zz", 1)]
     found = search.term_counts(docs([]), F.col("text"))
     assert got(found) == once and not plans_exchange(found)
+    assert {(r.term, r.tf, r.len) for r in search.postings(docs([]), F.col("text")).collect() if r.id == 1} == {("aa", 1, 5), ("bb", 3, 5), ("cc", 1, 5)}
+    assert not plans_exchange(search.postings(docs([]), F.col("text")))
     more = [(4, "aa yy"), (5, "aa"), (None, "aa bb"), (None, "aa")]
     want = sorted([(1, "aa", 1), (1, "bb", 3), (1, "cc", 1), (4, "aa", 3001), (4, "yy", 1), (4, "zz", 1), (5, "aa", 1), (None, "aa", 2), (None, "bb", 1)], key=repr)
     for many in (search.MANY, 1):

@@ -100,10 +100,9 @@ def term_counts(docs: DataFrame, text: Column, id: str = "id") -> DataFrame:
 
 
 def postings(docs: DataFrame, text: Column, id: str = "id") -> DataFrame:
-    """(bucket, term, id, tf, len): write it partitioned by bucket, so that a query reads its terms' buckets alone."""
-    toks = docs.select(F.col(id).alias("id"), tx.tokens(text).alias("toks")).withColumn("len", F.size("toks"))
-    each = toks.select("id", "len", F.explode("toks").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return each.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "tf", "len")
+    """(bucket, term, id, doc, tf, len): write it partitioned by bucket, so that a query reads its terms' buckets alone. doc tells rows of one id apart."""
+    each = counted(docs, text, F.col(id).alias("id"), F.monotonically_increasing_id().alias("doc"))
+    return each.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "doc", "tf", "len")
 
 
 def bucket_of(term: Column) -> Column:
@@ -116,7 +115,7 @@ def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def bm25_indexed(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
-    """(id, score) from postings and corpus_stats; the same scores as bm25."""
+    """(id, score) from postings and corpus_stats; the same scores and rows as bm25."""
     spark = index.sparkSession
     terms = Counter(tx.query_tokens(query))
     if not terms:
@@ -126,7 +125,7 @@ def bm25_indexed(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     hits = index.where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row per query term; one row
-    return scored.groupBy("id").agg(F.sum(F.col("m") * _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean"))).alias("score"))
+    return scored.groupBy("id", "doc").agg(F.sum(F.col("m") * _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean"))).alias("score")).drop("doc")
 
 
 def fuzzy(rows: DataFrame, query: str, name: str = "name", threshold: int = 70) -> DataFrame:
